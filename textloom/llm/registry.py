@@ -12,6 +12,7 @@ from textloom.llm.encodings import find_damage
 from textloom.llm.leaks import find_leaks
 from textloom.llm.scans import find_traces
 from textloom.llm.sentences import split_sentences
+from textloom.llm.spam import find_spam
 from textloom.llm.terms import TermLedger, distinctive_terms, top_terms
 from textloom.llm.tokens import encode
 
@@ -93,8 +94,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_spam(table(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_zscores, p4_found, p5_found, p6_found, p6_groups, p7_found, p7_mended, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_repaired, p3_found, p3_zscores, p4_found, p5_found, p6_found, p6_groups, p7_found, p7_mended, p8_ids, p9_found, p10_found)}
 
 
 _NORMAL = f"lower(trim(regexp_replace({sql_fold_width('term')}, '[\\s\\x0B\\x85\\p{{Z}}]+', ' ', 'g')))"
