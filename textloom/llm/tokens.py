@@ -54,19 +54,25 @@ def merge_word(ranks: dict[bytes, int], word: bytes) -> list[int]:
 
 
 class Lexicon:
-    """Minimal acyclic transducer over bytes, in flat arrays.
+    """Minimal acyclic transducer over bytes, as a double array.
 
-    ``first[s]``..``first[s+1]`` are the arcs of state s with ``label``, ``target`` and ``skip``
-    (how many words of the state precede the arc); ``final[s]`` tells whether a word ends there.
+    The arc of state s with byte c is at slot ``base[s] + c`` if ``check`` there is s; ``target`` is
+    the next state and ``skip`` how many words of s come before the arc. ``final[s]`` tells whether
+    a word ends in s; the sum of the skips is the word's number, ``start`` has where its ids begin.
+    The last state is the root.
     """
 
-    NAMES = ("first", "label", "target", "skip", "final", "start", "ids")
+    NAMES = ("base", "check", "target", "skip", "final", "start", "ids")
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        self.first, self.label, self.target, self.skip = (arrays[n] for n in self.NAMES[:4])
-        self.final, self.start, self.ids = (arrays[n] for n in self.NAMES[4:])
-        self.root = len(self.first) - 2
+    def __init__(self, buf):
+        self.buf = memoryview(buf)
+        sizes = self.buf[: 8 * len(self.NAMES)].cast("q").tolist()
+        at, self.views = 8 * len(self.NAMES), []
+        for size in sizes:
+            self.views.append(self.buf[at : at + 4 * size].cast("i"))
+            at += 4 * size
+        self.base, self.check, self.target, self.skip, self.final, self.start, self.ids = self.views
+        self.root = len(self.base) - 1
 
     @classmethod
     def build(cls, words: Iterable[tuple[bytes, list[int]]]) -> Lexicon:
@@ -106,54 +112,53 @@ class Lexicon:
             path[-1][1].append((last[len(path) - 1], freeze(node)))
         register.clear()
         freeze(path[0])
-        first, label, target, skip = [0], [], [], []
-        for final, arcs in states:
+        size = 2 * (sum(len(arcs) for _, arcs in states) + 512)
+        check, target, skip, base, low = [-1] * size, [0] * size, [0] * size, [0] * len(states), 256
+        tried: dict[int, int] = {}  # where the search for that many arcs has come to
+        for s in sorted(range(len(states)), key=lambda s: -len(states[s][1])):  # wide states first
+            final, arcs = states[s]
+            if not arcs:
+                break
+            f = tried.get(len(arcs), low)
+            while check[f] >= 0 or any(check[f - arcs[0][0] + c] >= 0 for c, _ in arcs):
+                f += 1
+                if f + 512 > len(check):
+                    check += [-1] * size
+                    target += [0] * size
+                    skip += [0] * size
+            tried[len(arcs)] = f
+            base[s] = f - arcs[0][0]
             before = int(final)
             for c, t in arcs:
-                label.append(c)
-                target.append(t)
-                skip.append(before)
+                check[base[s] + c], target[base[s] + c], skip[base[s] + c] = s, t, before
                 before += count[t]
-            first.append(len(label))
-        made = (first, label, target, skip, [s[0] for s in states], starts, ids)
-        kinds = (np.int32, np.uint8, np.int32, np.int32, np.uint8, np.int32, np.int32)
-        return cls({n: np.asarray(x, k) for n, x, k in zip(cls.NAMES, made, kinds, strict=True)})
+        made = (base, check, target, skip, [int(s[0]) for s in states], starts, ids)
+        head = np.asarray([len(x) for x in made], np.int64).tobytes()
+        return cls(head + b"".join(np.asarray(x, np.int32).tobytes() for x in made))
 
-    def find(self, word: bytes) -> np.ndarray | None:
+    def find(self, word: bytes) -> list[int] | None:
+        base, check, target, skip = self.base, self.check, self.target, self.skip
         s, n = self.root, 0
         for c in word:
-            lo, hi = self.first[s], self.first[s + 1]
-            i = lo + int(np.searchsorted(self.label[lo:hi], c))
-            if i == hi or self.label[i] != c:
+            i = base[s] + c
+            if check[i] != s:
                 return None
-            n += int(self.skip[i])
-            s = self.target[i]
+            n += skip[i]
+            s = target[i]
         if not self.final[s]:
             return None
-        return self.ids[self.start[n] : self.start[n + 1]]
+        return self.ids[self.start[n] : self.start[n + 1]].tolist()
 
-    def to_bytes(self) -> bytes:
-        head = np.asarray([len(self.a[n]) for n in self.NAMES], np.int64).tobytes()
-        body = b""
-        for n in self.NAMES:
-            raw = self.a[n].tobytes()
-            body += raw + b"\0" * (-len(raw) % 8)
-        return head + body
+    def __len__(self) -> int:
+        return len(self.start) - 1
 
-    @classmethod
-    def from_buffer(cls, buf) -> Lexicon:
-        sizes = np.frombuffer(buf, np.int64, len(cls.NAMES))
-        at, arrays = 8 * len(cls.NAMES), {}
-        for n, k, size in zip(cls.NAMES, (np.int32, np.uint8, np.int32, np.int32, np.uint8, np.int32, np.int32), sizes, strict=True):
-            arrays[n] = np.frombuffer(buf, k, int(size), at)
-            raw = int(size) * np.dtype(k).itemsize
-            at += raw + (-raw % 8)
-        return cls(arrays)
+    def to_bytes(self) -> bytes:
+        return bytes(self.buf)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
-            return cls.from_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 def word_counts(texts: DataFrame, text_col: str = "text", per_task: int = 100_000) -> DataFrame:
@@ -189,7 +194,7 @@ def build_lexicon(texts: DataFrame, text_col: str = "text", vocabulary: str = VO
 
 
 def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
-           lexicon: Lexicon | None = None, memo: int = 300_000) -> DataFrame:
+           lexicon: Lexicon | None = None, memo: int = 400_000) -> DataFrame:
     """``id_col`` and ids ARRAY<INT>: every row's text by the byte-level BPE of ``vocabulary``.
 
     No special tokens: strings that look like one are ordinary text. Null and empty texts give an
@@ -215,7 +220,7 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         def ids_of(word: str) -> list[int]:
             raw = word.encode("utf-8", "replace")
             hit = lex.find(raw)
-            return hit.tolist() if hit is not None else merge(raw)
+            return merge(raw) if hit is None else hit
 
         for b in batches:
             for at in range(0, b.num_rows, 512):
