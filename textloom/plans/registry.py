@@ -151,7 +151,7 @@ def term_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     freq = T.ngram_candidates(docs, P)
     got = T.term_scores(freq, T.tfidf(docs, P), T.pmi(docs, freq, PMI_CAP), P)
-    return got.select("term", "freq", F.round("score", 4).alias("score"), "entity_type")
+    return got.select("term", "freq", F.round("score", 3).alias("score"), "entity_type")
 
 
 def term_topk(spark: SparkSession, d: str) -> DataFrame:

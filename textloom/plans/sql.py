@@ -205,7 +205,7 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         "tfidf_l2": f"""WITH {tf}, v AS (SELECT * FROM df ORDER BY total DESC, term LIMIT 8000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n),
             l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id) SELECT term, round(sum(w / l), 5) AS tfidf FROM w JOIN l USING (doc_id) GROUP BY term""",
         "pmi_char": f"WITH {tok}, {grams('tok')}, {pmi} SELECT term, round(pmi, 5) AS pmi FROM pm",
-        "term_scores": f"""WITH {raw_tfidf}, {grams('tok')}, {pmi} SELECT cnd.term, freq, round(round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6), 4) AS score,
+        "term_scores": f"""WITH {raw_tfidf}, {grams('tok')}, {pmi} SELECT cnd.term, freq, round(round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6), 3) AS score,
             {first_rule('cnd.term', p.type_rules, p.default_type)} AS entity_type FROM cnd LEFT JOIN w ON w.term = cnd.term LEFT JOIN pm ON pm.term = cnd.term""",
         "term_topk": f"WITH {dt} SELECT term, freq, score FROM dt ORDER BY score DESC, freq DESC, term LIMIT {top}",
         "reject_reasons": f"WITH {fin} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM f GROUP BY 1",
