@@ -167,14 +167,14 @@ class ReferenceIndex:
         return best[1]
 
 
-def map_names(values: DataFrame, reference: DataFrame, id_col: str, value_col: str, memo: int = 200_000) -> DataFrame:
+def map_names(values: DataFrame, reference: DataFrame, id_col: str, value_col: str) -> DataFrame:
     """``id_col``, ref_id: for each id whose value is neither null nor blank the entry of
     ``reference`` (ref_id, canonical, name_en, abbrev) that it means, or -1.
 
     Ids written again count once (of differing values the smallest). The reference list is fixed
-    and small; its size is checked before it is broadcast. The rows are mapped where they are: a
-    value is looked up once per worker and remembered, so neither an often named entry nor a hot
-    value is shuffled.
+    and small; its size is checked before it is broadcast. Each distinct value is looked up once
+    (distinct with partial aggregation, so a hot value arrives once a task) and joined back;
+    adaptive execution splits the rows of a hot value, as the other side has each value once.
     """
     spark = values.sparkSession
     rows = values.groupBy(F.col(id_col)).agg(F.min(value_col).alias("v")).where("v is not null and length(regexp_replace(v, '(?U)\\\\s', '')) > 0")
@@ -190,15 +190,9 @@ def map_names(values: DataFrame, reference: DataFrame, id_col: str, value_col: s
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = ReferenceIndex(*sent.value)
-        known: dict[str, int] = {}
         for p in parts:
-            if len(known) > memo:
-                known.clear()
-            out = []
-            for v in p["v"]:
-                if (ref := known.get(v)) is None:
-                    ref = known[v] = index.lookup(v)
-                out.append(ref)
-            yield pd.DataFrame({"id": p["id"], "ref_id": out})
-
-    return rows.select(F.col(id_col).alias("id"), "v").mapInPandas(run, "id long, ref_id long")
+            yield p.assign(ref_id=[index.lookup(v) for v in p["v"]])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mapped = rows.select("v").distinct().repartition(n).mapInPandas(run, "v string, ref_id long")
+    return rows.join(mapped, "v").select(F.col(id_col).alias("id"), "ref_id")
