@@ -57,3 +57,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def most_frequent(counts: DataFrame, key: str, most: int, what: str) -> DataFrame:
+    """The ``most`` usual rows of (key, n); sorted only if there are more, so that a small model costs no sort."""
+    kept = stored(counts, scratch(counts.sparkSession, what))
+    if kept.count() > most:
+        kept = kept.orderBy(F.col("n").desc(), key).limit(most)
+    return kept
