@@ -11,7 +11,7 @@ CASES = [
     ("结论有三：1.下降；2.可用；3.可省略。参见Fig. 7与Eq. (3)，变化。", [0, 21]),
     ("为0．37，即26．16％，满足．下一句｡", [0, 17]),
     ("Dr. Orvane signed sheet No. 26. The N.W.-style panel met on 4 Jan. 2031.At 0.5 N m. Done", [0, 32, 72, 84]),
-    ('"Does it lock?" asked the reviewer. Seals, etc. were replaced. Hinges, etc. The end', [0, 36, 63, 77]),
+    ('"Does it lock?" asked the reviewer. Seals, etc. were replaced. Hinges, etc. The end', [0, 36, 63, 76]),
     ("Logs are at http://a.example/run.5?mode=a.b for review. What failed?It did.", [0, 56, 68]),
     ("Die Messung vom 19. Mai ergab ca. 0,4 mm. „Hält es?“, fragte er. Ende z. B. hier.", [0, 42, 65]),
     ("परिणाम ठीक है। डॉ. ओरवन ने देखा। “क्या?” पूछा।", [0, 15, 33]),
