@@ -25,7 +25,8 @@ def strip(c: Column) -> Column:
 
 
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), CONTROL, ""), " ", " ")
+    """Line feeds only, no control characters, no-break spaces as spaces."""
+    return F.translate(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), CONTROL, ""), "\u00a0", " ")
 
 
 def _lines(c: Column) -> Column:

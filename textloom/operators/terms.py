@@ -85,7 +85,8 @@ def needle_counts(docs: DataFrame, needles: list[str], text_col: str = "text") -
                     if end - len(words[i]) + 1 >= free.get(i, 0):
                         found[i] += 1
                         free[i] = end + 1
-        yield pd.DataFrame({"needle": [w for w, n in zip(words, found, strict=True) if n], "n": [n for n in found if n]})
+        if any(found):
+            yield pd.DataFrame({"needle": [w for w, n in zip(words, found, strict=True) if n], "n": [n for n in found if n]})
 
     if not sent.value:
         return spark.createDataFrame([], "needle string, n long")
