@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.aliases import map_names
 from textloom.llm.common import scratch, sql_fold_width, stored, table
-from textloom.llm.copies import collapse_copies
+from textloom.llm.copies import DASHES, collapse_copies
 from textloom.llm.encodings import find_damage
 from textloom.llm.leaks import find_leaks
 from textloom.llm.scans import find_traces
@@ -115,6 +115,29 @@ w AS (SELECT term, sum(f)::BIGINT AS freq, count(*) AS files FROM f GROUP BY ter
 _VERDICT = "CASE WHEN files > 0.1 * n THEN 'common' WHEN files = 1 AND freq < 3 THEN 'rare' ELSE 'kept' END"
 
 
+def _canonical(c: str) -> str:
+    """The canonical form of copies, without lookaround: what belongs to a value is put aside first."""
+    s = f"lower(translate({sql_fold_width(c)}, '{DASHES}', '{'-' * len(DASHES)}'))"
+    ends = r"[;,|、，；\n\r]+"
+    parts = rf"regexp_split_to_array(regexp_replace({s}, '/([^/=:;,|、，；\n\r]*[=:])', ';\1', 'g'), '{ends}')"
+    bare = lambda x: rf"regexp_replace({x}, '[\t-\r \x{{85}}\p{{Z}}]+', '', 'g')"
+    # Marks that can't be left over stand for point and minus: letters of a private area.
+    dots = lambda x: rf"regexp_replace(regexp_replace({x}, '([0-9])\.([0-9])', '\1' || chr(57600) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57600) || '\2', 'g')"
+    minus = lambda x: rf"regexp_replace({x}, '([=:])-(\.?[0-9])', '\1' || chr(57601) || '\2', 'g')"
+    kept = lambda x: rf"replace(replace(regexp_replace({minus(dots(bare(x)))}, '[\p{{P}}\p{{S}}\p{{Cc}}\p{{Cf}}]', '', 'g'), chr(57600), '.'), chr(57601), '-')"
+    real = f"list_filter({parts}, lambda x: length({kept('x')}) > 0)"
+    entries = f"(len({real}) > 1 AND len(list_filter({real}, lambda x: regexp_matches(x, '[=:]'))) = len({real}))"
+    return f"CASE WHEN {entries} THEN array_to_string(list_sort(list_transform({real}, lambda x: {kept('x')})), '|') ELSE {kept(s)} END"
+
+
+_GROUPS = f"""WITH k AS (SELECT node_no, {_canonical('name')} AS a, {_canonical('entity_type')} AS b FROM nodes),
+g AS (SELECT node_no, min(node_no) OVER w AS keep_no, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY a, b))"""
+_Z = f"""{_TERMS}, a AS (SELECT doc_id, sum(f) AS nd FROM f GROUP BY doc_id), e AS (SELECT sum(f)::DOUBLE AS everything FROM f),
+j AS (SELECT f.doc_id, f.term, f.f, w.files AS d, n, nd::DOUBLE AS nd, everything, f.f + 1000.0::DOUBLE / everything * w.freq AS here, w.freq - f.f + 1000.0::DOUBLE / everything * w.freq AS rest
+      FROM f JOIN w ON f.term = w.term JOIN a ON a.doc_id = f.doc_id, n, e),
+o AS (SELECT *, nd + 1000.0::DOUBLE - here AS hn, everything - nd + 1000.0::DOUBLE - rest AS rn FROM j)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_TERMS} SELECT term, {_VERDICT} AS verdict FROM w, n WHERE {_VERDICT} <> 'kept'",
@@ -122,4 +145,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"""{_TERMS}, s AS (
             SELECT doc_id, f.term, round(f * (ln((1.0 + n) / (1 + files)) + 1), 6) AS score FROM f JOIN w ON f.term = w.term, n WHERE files >= 2)
             SELECT doc_id, term FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 3""",
+        "p3_zscores": f"""{_Z} SELECT doc_id, term, f, d, round(f * (ln((1.0::DOUBLE + n) / (1 + d)) + 1), 6) AS tfidf,
+            round(CASE WHEN hn > 0 AND rn > 0 THEN (ln(here) - ln(hn) - ln(rest) + ln(rn)) / sqrt(1 / here + 1 / rest) ELSE 0 END, 4) AS z FROM o""",
+        "p6_found": f"{_GROUPS} SELECT keep_no, node_no AS copy_no FROM g WHERE node_no <> keep_no",
+        "p6_groups": f"{_GROUPS} SELECT keep_no, copies FROM g WHERE node_no = keep_no",
     }
