@@ -41,8 +41,8 @@ class TermLedger:
     """Persistent counts of every distinct term, kept up by signed deltas.
 
     Layout below ``path``: ``rows`` (the records as last counted), ``pairs`` (term and file) and
-    ``counts`` (term), each cut into ``buckets`` by a hash of its key, one folder per version and
-    bucket; ``manifest`` says which version of a bucket holds. ``apply`` aggregates only the
+    ``counts`` (term), each cut into ``buckets`` by a hash of its whole key (so the pairs of a term that
+    every file has spread evenly), one folder per version and bucket; ``manifest`` says which version of a bucket holds. ``apply`` aggregates only the
     records that were added, changed or deleted, and writes only the buckets these touch; all
     other buckets stay as they are. A version counts once its manifest is written, so a failed
     apply changes nothing and can be repeated.
@@ -59,8 +59,7 @@ class TermLedger:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _bucket(self, kind: str):
-        key = "term_id" if kind == "rows" else "term"
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*self.KEYS[kind]), F.lit(self.buckets)).cast("int")
 
     def _live(self) -> dict[tuple[str, int], int]:
         """(table, bucket) -> version; at most three times the number of buckets."""
@@ -115,8 +114,8 @@ class TermLedger:
         delta = delta.where("occ <> 0 or n_rows <> 0")
         delta.write.mode("overwrite").parquet(f"{self.path}/delta/v{version}")
         delta = self.spark.read.schema(self.SCHEMAS["pairs"]).parquet(f"{self.path}/delta/v{version}")
-        touched_t = {r.b for r in delta.select(self._bucket("pairs").alias("b")).distinct().collect()}
-        old = self._read("pairs", touched_t)
+        touched_p, touched_c = ({r.b for r in delta.select(self._bucket(k).alias("b")).distinct().collect()} for k in ("pairs", "counts"))
+        old = self._read("pairs", touched_p)
         both = (
             old.select("term", "doc_id", "occ", "n_rows", F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("r"))
             .unionByName(delta.select("term", "doc_id", F.lit(0).cast("long").alias("occ"), F.lit(0).cast("long").alias("n_rows"),
@@ -124,7 +123,7 @@ class TermLedger:
             .groupBy("term", "doc_id").agg(*[F.sum(c).alias(c) for c in ("occ", "n_rows", "o", "r")])
         )
         self._write("pairs", both.select("term", "doc_id", (F.col("occ") + F.col("o")).alias("occ"),
-                                         (F.col("n_rows") + F.col("r")).alias("n_rows")).where("n_rows > 0"), version, touched_t)
+                                         (F.col("n_rows") + F.col("r")).alias("n_rows")).where("n_rows > 0"), version, touched_p)
         has = lambda c: (c > 0).cast("long")
         change = (
             both.where("o <> 0 or r <> 0")
@@ -132,12 +131,12 @@ class TermLedger:
                                  F.sum(has(F.col("n_rows") + F.col("r")) - has(F.col("n_rows"))).alias("files"))
         )
         merged = (
-            self._read("counts", touched_t).unionByName(change)
+            self._read("counts", touched_c).unionByName(change)
             .groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("files").alias("files")).where("files > 0")
         )
-        self._write("counts", merged, version, touched_t)
+        self._write("counts", merged, version, touched_c)
         self._write("rows", rows, version, touched)
-        self._commit(version, {"pairs": touched_t, "counts": touched_t, "rows": touched})
+        self._commit(version, {"pairs": touched_p, "counts": touched_c, "rows": touched})
 
     def _write(self, kind: str, df: DataFrame, version: int, touched) -> None:
         b = self._bucket(kind)
