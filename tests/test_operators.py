@@ -6,12 +6,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions import pages as PG
 from textloom.operators import documents as D
 from textloom.operators import evaluate as E
 from textloom.operators import graph as G
 from textloom.operators import ner as N
 from textloom.operators import relations as R
 from textloom.operators import terms as T
+from textloom.plans import cli
 from textloom.plans.pipeline import Catalog, graph
 from textloom.profile import LATIN, ZH
 from textloom.sources import io
@@ -275,10 +277,47 @@ def test_pipeline_and_catalog(spark, tmp_path):
     n1, e1 = c.add("g", docs.limit(2))
     n2, e2 = c.add("g", docs)
     assert c.has("g", "nodes") and c.get("g")[0].count() == n2.count() and spark.read.parquet(c._path("g", "documents")).count() == 4
+    assert [r["name"] for r in c.list().collect()] == ["g"]
     c.delete("g")
     assert not c.has("g", "nodes") and e1 is not None and e2 is not None and n1 is not None
 
 
+def test_glyphs_and_recognition(spark):
+    assert PG.glyph(int.from_bytes("机".encode("gbk"), "big")) == "机" and PG.glyph(70000) is None
+    coded = "".join(f"(cid:{int.from_bytes(c.encode('gbk'), 'big')})" for c in "变体飞行器的机翼可以折叠")
+    df = spark.createDataFrame([(1, coded), (2, "(cid:70000)"), (3, None), (4, "普通的文本不需要任何修复")], "page int, text string")
+    got = {r.page: r.t for r in df.select("page", PG.repaired_glyphs(F.col("text")).alias("t")).collect()}
+    assert got == {1: "变体飞行器的机翼可以折叠", 2: "(cid:70000)", 3: None, 4: "普通的文本不需要任何修复"}
+    replies = spark.createDataFrame([(2, "```\n识别出来的文字\n```"), (4, "不该用")], "page int, reply string")
+    got = {r.page: r.text for r in PG.with_recognition(df, replies, ["page"]).collect()}
+    assert got[2] == "识别出来的文字" and got[4].startswith("普通") and got[3] is None
+
+
+def test_synthetic_gold(spark):
+    terms = spark.createDataFrame(DICT, "term string, entity_type string")
+    s = spark.createDataFrame([("d", i) for i in range(50)], "doc_id string, sentence_id int")
+    e = E.synthetic_entities(terms, s)
+    assert e.select("entity").distinct().count() == e.count() > 4
+    r = E.synthetic_relations(e).collect()
+    assert len(r) == e.count() - 1 and all(x.head != x.tail for x in r)
+
+
+def test_cli(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("机翼影响升阻比。变体飞行器采用折叠机构。", encoding="utf-8")
+    at = lambda x: str(tmp_path / x)
+    spark.createDataFrame(DICT + [("折叠机构", "Mechanism")], "term string, entity_type string").write.parquet(at("dict.parquet"))
+    cli.run(spark, "preprocess", at("t"), at("s.parquet"))
+    cli.run(spark, "terms", at("t"), at("terms.parquet"))
+    cli.run(spark, "extract", at("s.parquet"), at("m.parquet"), other=at("dict.parquet"))
+    cli.run(spark, "clean", at("m.parquet"), at("c.parquet"), other=at("dict.parquet"))
+    cli.run(spark, "relation", at("c.parquet"), at("r.parquet"))
+    cli.run(spark, "annotate", at("s.parquet"), at("a.parquet"))
+    cli.run(spark, "kg", at("c.parquet"), at("kg"), other=at("r.parquet"))
+    assert cli.run(spark, "evaluate", at("r.parquet"), at("e.parquet"), other=at("r.parquet")).first()["f1"] == 1.0
+    assert spark.read.parquet(at("kg/edges")).count() == 2
+
+
 def test_latin_profile(spark):
     text = "the station is a building of the harbour"
     rows = [("d", 1, text, "station", "Mechanism", 4, 11, "dictionary"), ("d", 1, text, "building", "ControlMethod", 17, 25, "dictionary")]

@@ -72,3 +72,36 @@ def perturbed_entities(gold: DataFrame, drop: float = 0.10, retype: float = 0.05
 def annotated(rows: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions in sentences that the gold set has."""
     return rows.join(gold.select("doc_id", "sentence_id").distinct(), ["doc_id", "sentence_id"], "left_semi")
+
+
+# Modifiers, and relation names by the types of head and tail, of synthetic gold sets.
+MODIFIERS = ("", "新型", "前沿", "复杂", "轻量化", "分布式")
+TYPE_PAIRS = {
+    ("Structure", "Mechanism"): "实现", ("Mechanism", "Performance"): "提升", ("ControlMethod", "Structure"): "驱动",
+    ("Concept", "Aircraft"): "指导设计", ("Parameter", "Performance"): "影响", ("Structure", "Aircraft"): "组成",
+}
+OTHER_RELATIONS = ("包含", "属于", "影响", "应用于", "优化", "降低", "提升", "计算", "控制", "驱动", "连接", "组成", "评估")
+
+
+def synthetic_entities(terms: DataFrame, sentences: DataFrame, modifiers: tuple[str, ...] = MODIFIERS) -> DataFrame:
+    """Each term with each modifier as an entity of some sentence; which one depends on the entity's hash.
+
+    ``terms``: term, entity_type. The sentences are numbered by hash buckets and joined by bucket.
+    """
+    n = max(1, sentences.count())
+    e = terms.select(F.explode(F.transform(F.array(*[F.lit(m) for m in modifiers]), lambda m: F.concat(m, F.col("term")))).alias("entity"), "entity_type")
+    at = F.pmod(F.xxhash64("entity"), F.lit(n))
+    ranked = sentences.select("doc_id", "sentence_id", F.pmod(F.xxhash64("doc_id", "sentence_id"), F.lit(n)).alias("slot"))
+    one = ranked.groupBy("slot").agg(F.min(F.struct("doc_id", "sentence_id")).alias("s"))
+    return e.withColumn("slot", at).join(one, "slot").select("s.doc_id", "s.sentence_id", "entity", "entity_type")
+
+
+def synthetic_relations(entities: DataFrame) -> DataFrame:
+    """A relation from each entity to the one that follows it in the order of hashes of its doc_id, named by the
+    types of both, else by hash."""
+    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("entity"), "entity")
+    p = entities.withColumn("tail", F.lead("entity").over(w)).withColumn("t_type", F.lead("entity_type").over(w)).where("tail is not null and tail <> entity")
+    name = F.element_at(F.array(*[F.lit(x) for x in OTHER_RELATIONS]), (F.pmod(F.xxhash64("entity", "tail"), F.lit(len(OTHER_RELATIONS))) + 1).cast("int"))
+    for (h, t), r in TYPE_PAIRS.items():
+        name = F.when((F.col("entity_type") == h) & (F.col("t_type") == t), r).otherwise(name)
+    return p.select("doc_id", "sentence_id", F.col("entity").alias("head"), name.alias("relation"), "tail")

@@ -78,6 +78,10 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path(self._path(name, table))
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
+    def list(self) -> DataFrame:
+        """All graphs with their counters, the one updated last first."""
+        return self.spark.read.parquet(f"{self.root}/*/meta").orderBy(F.col("updated_at").desc(), "name")
+
     def get(self, name: str) -> tuple[DataFrame, DataFrame]:
         return io.load_graph(self.spark, f"{self.root}/{name}")
 
