@@ -59,9 +59,15 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def most_frequent(counts: DataFrame, key: str, most: int, what: str) -> DataFrame:
-    """The ``most`` usual rows of (key, n); sorted only if there are more, so that a small model costs no sort."""
+def most_frequent(counts: DataFrame, most: int, what: str) -> DataFrame:
+    """The usual rows of a table with counts ``n``, at most ``most``: all rows from the least count on with
+    which they fit. The count is found from the numbers of rows by count, so nothing is sorted."""
     kept = stored(counts, scratch(counts.sparkSession, what))
-    if kept.count() > most:
-        kept = kept.orderBy(F.col("n").desc(), key).limit(most)
-    return kept
+    top = F.least(F.col("n"), F.lit(10_000)).alias("n")
+    left, least = most, 10_001
+    for r in sorted(kept.groupBy(top).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["n"]):
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["n"]
+    return kept.where(F.col("n") >= least)

@@ -82,8 +82,7 @@ def p7_mended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "all_sentences")
-    return find_traces(rows, damaged=find_damage(rows.where("page_no is not null")).where("damaged > 0.5"))
+    return find_traces(table(spark, d, "all_sentences"), check_damage=True)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
