@@ -112,6 +112,25 @@ def pmi(docs: DataFrame, candidates: DataFrame, cap: int, text_col: str = "text"
     return got.groupBy("term").agg(F.min(F.log2(F.col("n_term") * F.lit(float(size)) / (many("n_l") * many("n_r")))).alias("pmi"))
 
 
+def pmi_tokens(docs: DataFrame, p: Profile, min_freq: int | None = None) -> DataFrame:
+    """term (tokens joined by a space), freq, pmi: cohesion of n-grams on token boundaries, the least
+    log2(c*N/(left*right)) over all cuts, with N tokens in all.
+
+    Counts, not texts, are joined, so the cost follows the number of distinct n-grams; no cap is needed.
+    """
+    least = p.min_freq if min_freq is None else min_freq
+    grams = F.flatten(F.array(*[_ngram_arrays(F.col("tokens"), n, " ") for n in range(1, p.max_ngram + 1)]))
+    c = tokens(docs, p).select(F.explode(grams).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    c = c.withColumn("parts", F.split("g", " "))
+    total = c.where(F.size("parts") == 1).agg(F.sum("c")).first()[0] or 0
+    many = c.where((F.size("parts") > 1) & (F.col("c") >= least))
+    cut = many.select("g", F.col("c").alias("freq"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("i"))
+    cut = cut.select("g", "freq", F.array_join(F.slice("parts", F.lit(1), F.col("i")), " ").alias("l"), F.array_join(F.slice("parts", F.col("i") + 1, F.size("parts")), " ").alias("r"))
+    side = lambda k: c.select(F.col("g").alias(k), F.col("c").cast("double").alias(f"n_{k}"))
+    got = cut.join(side("l"), "l").join(side("r"), "r")
+    return got.groupBy(F.col("g").alias("term"), "freq").agg(F.min(F.log2(F.col("freq") * F.lit(float(total)) / (F.col("n_l") * F.col("n_r")))).alias("pmi"))
+
+
 def term_scores(freq: DataFrame, weights: DataFrame, cohesion: DataFrame, p: Profile) -> DataFrame:
     """All columns of a term table, scored 0.6 freq + 0.3 tfidf + 0.1 positive pmi."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))

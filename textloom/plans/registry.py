@@ -147,6 +147,10 @@ def pmi_char(spark: SparkSession, d: str) -> DataFrame:
     return T.pmi(docs, T.ngram_candidates(docs, P), PMI_CAP).select("term", F.round("pmi", 5).alias("pmi"))
 
 
+def pmi_token(spark: SparkSession, d: str) -> DataFrame:
+    return T.pmi_tokens(documents(spark, d), P).select("term", "freq", F.round("pmi", 5).alias("pmi"))
+
+
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     freq = T.ngram_candidates(docs, P)
@@ -359,7 +363,7 @@ def graph_from_documents(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     clean_text, page_text, split_sentences, sentence_stats, garbled_flag, text_quality, best_candidate, doc_metadata, ascii_names, page_ranges,
-    token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, term_scores, term_topk,
+    token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, pmi_token, term_scores, term_topk,
     reject_reasons, finalize_terms, finalize_reviewed, llm_batches, llm_merge, review_merge, ner_occurrences, ner_greedy, rule_entities, entities_clean,
     entity_pairs, relations_raw, relations_clean, llm_relation_requests, llm_relation_validate, kg_nodes, kg_nodes_canonical, kg_edges, rdf_triples,
     turtle_lines, upsert_merge, matched_edges, graph_stats, graph_stats_types, graph_stats_relations, degree, search_entities, entity_detail,

@@ -111,6 +111,7 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         return f"""g AS ({per}), cand AS (SELECT term, count(*) AS freq FROM g WHERE length(term) BETWEEN 2 AND {p.max_term} GROUP BY term
             HAVING count(*) >= {p.min_freq}), cnd AS (SELECT term, freq FROM cand WHERE NOT {noise('term', p)} AND {valid('term', p)})"""
 
+    token_grams = " UNION ALL ".join(f"SELECT {n} AS n, unnest(list_transform(range(1, greatest(1, len(tokens) - {n - 2})), lambda i: array_to_string(tokens[i:i+{n - 1}], ' '))) AS g FROM tok" for n in range(1, p.max_ngram + 1))
     tf = f"{tok}, n AS (SELECT count(*) AS n FROM documents), tk AS (SELECT doc_id, unnest(tokens) AS term FROM tok), tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term)"
     raw_tfidf = f"{tf}, w AS (SELECT term, sum(tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1)) AS tfidf FROM tf JOIN df USING (term), n GROUP BY term)"
     pmi = f"""top AS (SELECT term FROM cnd WHERE length(term) > 1 ORDER BY freq DESC, length(term) DESC, term LIMIT {pmi_cap}),
@@ -205,6 +206,10 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         "tfidf_l2": f"""WITH {tf}, v AS (SELECT * FROM df ORDER BY total DESC, term LIMIT 8000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n),
             l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id) SELECT term, round(sum(w / l), 5) AS tfidf FROM w JOIN l USING (doc_id) GROUP BY term""",
         "pmi_char": f"WITH {tok}, {grams('tok')}, {pmi} SELECT term, round(pmi, 5) AS pmi FROM pm",
+        "pmi_token": f"""WITH {tok}, g AS ({token_grams}), c AS (SELECT g, n, count(*) AS c FROM g GROUP BY g, n), t AS (SELECT sum(c)::DOUBLE AS t FROM c WHERE n = 1),
+            s AS (SELECT g, c, string_split(g, ' ') AS p, unnest(range(1, n)) AS i FROM c WHERE n > 1 AND c >= {p.min_freq}),
+            x AS (SELECT g, c, array_to_string(p[1:i], ' ') AS l, array_to_string(p[i+1:], ' ') AS r FROM s)
+            SELECT x.g AS term, x.c AS freq, round(min(log2(x.c * t / (a.c::DOUBLE * b.c))), 5) AS pmi FROM x JOIN c a ON a.g = x.l JOIN c b ON b.g = x.r, t GROUP BY x.g, x.c""",
         "term_scores": f"""WITH {raw_tfidf}, {grams('tok')}, {pmi} SELECT cnd.term, freq, round(round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6), 3) AS score,
             {first_rule('cnd.term', p.type_rules, p.default_type)} AS entity_type FROM cnd LEFT JOIN w ON w.term = cnd.term LEFT JOIN pm ON pm.term = cnd.term""",
         "term_topk": f"WITH {dt} SELECT term, freq, score FROM dt ORDER BY score DESC, freq DESC, term LIMIT {top}",
