@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,16 @@ def most_frequent(counts: DataFrame, most: int, what: str) -> DataFrame:
             break
         least = r["n"]
     return kept.where(F.col("n") >= least)
+
+
+def pieces(texts: list, rows: int = 512, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts, of so many rows or characters at most (a longer text is a run of its own)."""
+    a = total = 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > a and (i - a >= rows or total + n > chars):
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(texts):
+        yield a, len(texts)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import scratch, stored
+from textloom.llm.common import pieces, scratch, stored
 
 _URL = re.compile(r"(?:https?://|www\.)[!#-&*-;=?-Z\\^-~]+|(?<![\w.-])[a-z0-9-]{2,40}(?:\.[a-z0-9-]{1,40}){0,3}\.[a-z]{2,10}/[!#-&*-;=?-Z\\^-~]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]{0,300}>[^<]{0,300}</a>|\[[^\]\n]{1,80}\]\([^)\n]{4,120}\)", re.I)
@@ -273,14 +273,15 @@ def find_spam(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             p = p[p["s"].notna()]
             code, names = pd.factorize(p["s"])
             host = pd.util.hash_array(np.asarray(names, dtype=object)).view(np.int64) if len(names) else np.zeros(0, np.int64)
-            for i in range(0, len(p), 1024):
-                doc, h = shingles(p["t"].iloc[i : i + 1024].tolist())
+            every = p["t"].tolist()
+            for i, j in pieces(every, 1024):
+                doc, h = shingles(every[i:j])
                 at = _bloom_bits(h, log_bits)
                 hit = np.ones(len(h), bool)
                 for row in at:
                     hit &= (bits[row >> 3] >> (7 - (row & 7)).astype(np.uint8) & 1).astype(bool)
                 if hit.any():
-                    waiting.append(np.unique(np.stack([h[hit], host[code[i : i + 1024][doc[hit]]]]), axis=1))
+                    waiting.append(np.unique(np.stack([h[hit], host[code[i:j][doc[hit]]]]), axis=1))
                     many += waiting[-1].shape[1]
             if many > 500_000:
                 u = np.unique(np.concatenate(waiting, axis=1), axis=1)

@@ -223,19 +223,21 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
             return merge(raw) if hit is None else hit
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                c = b.slice(at, 512)
-                if len(known) > memo:
-                    known.clear()
-                flat, ends = [], [0]
-                for t in c.column(1).to_pylist():
-                    for w in split.findall(t) if t else ():
-                        if (x := known.get(w)) is None:
-                            x = known[w] = ids_of(w)
-                        flat += x
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_arrays([c.column(0), lists], ["id", "ids"])
+            ids, at = b.column(0), 0
+            flat: list[int] = []
+            ends = [0]
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for w in split.findall(t) if t else ():
+                    if (x := known.get(w)) is None:
+                        x = known[w] = ids_of(w)
+                    flat += x
+                ends.append(len(flat))
+                if i + 1 == b.num_rows or i + 1 - at >= 512 or len(flat) > 1_000_000:  # very long texts go out at once
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), lists], ["id", "ids"])
+                    at, flat, ends = i + 1, [], [0]
+                    if len(known) > memo:
+                        known.clear()
 
     kind = texts.schema[id_col].dataType.simpleString()
     return (texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
