@@ -25,7 +25,7 @@ ALLOWED = ("ControlMethod", "Mechanism", "Structure", "Performance", "Mission",
 
 # Inputs: each delivered row once.
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return io.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:

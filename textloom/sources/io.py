@@ -23,6 +23,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that comes in fewer partitions than half the cores is spread over all; others stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines by a schema; blank lines are skipped, broken ones come out null."""
     return spark.read.schema(schema).json(path).dropna(how="all")
