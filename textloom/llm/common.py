@@ -32,8 +32,12 @@ def normal_term(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(fold_width(c), SPACES, " ")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the data folder; with ``spread`` one that comes in fewer partitions than half the cores (so a
+    small one) is spread over all."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,12 +29,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_damage(table(spark, d, "all_sentences")).where("damaged > 0.5").select("doc_id", "sentence_id")
+    return find_damage(table(spark, d, "all_sentences", spread=True)).where("damaged > 0.5").select("doc_id", "sentence_id")
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The damaged rows with the text that was brought back; ``lost`` where some of it is gone."""
-    return find_damage(table(spark, d, "all_sentences")).where("damaged > 0.5").select(
+    return find_damage(table(spark, d, "all_sentences", spread=True)).where("damaged > 0.5").select(
         "doc_id", "sentence_id", "chain", F.col("repaired").contains("�").alias("lost"), "repaired")
 
 
@@ -48,7 +48,7 @@ def p3_zscores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "all_sentences").where("page_no is null")
+    rows = table(spark, d, "all_sentences", spread=True).where("page_no is null")
     bad = find_damage(rows).where("damaged > 0.5").select("doc_id", "sentence_id", F.lit(True).alias("bad"))
     units = split_sentences(rows).dropDuplicates(["doc_id", "sentence_id"]).join(bad, ["doc_id", "sentence_id"], "left")
     starts = F.when(F.col("bad"), F.slice("starts", 1, 1)).otherwise(F.col("starts"))
@@ -82,19 +82,19 @@ def p7_mended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p7(spark: SparkSession, d: str) -> DataFrame:
-    return find_traces(table(spark, d, "all_sentences"), check_damage=True)
+    return find_traces(table(spark, d, "all_sentences", spread=True), check_damage=True)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode(table(spark, d, "documents"))
+    return encode(table(spark, d, "documents", spread=True))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return find_leaks(table(spark, d, "documents", spread=True), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_spam(table(spark, d, "documents")).select("doc_id")
+    return find_spam(table(spark, d, "documents", spread=True)).select("doc_id")
 
 
 def queries() -> dict:
