@@ -107,9 +107,14 @@ def is_noise(c: Column, p: Profile) -> Column:
     return noise
 
 
-def valid_token(c: Column, p: Profile) -> Column:
+def token_shape(c: Column, p: Profile) -> Column:
+    """Whether a token has the length and letters of one; the cheap half of valid_token."""
     shape = r"\A[一-鿿A-Za-z][一-鿿A-Za-z0-9\-]*\z" if p.name == "zh" else r"\A\p{L}+\z"
-    return F.length(c).between(2, p.max_token) & c.rlike(shape) & ~is_noise(c, p)
+    return F.length(c).between(2, p.max_token) & c.rlike(shape)
+
+
+def valid_token(c: Column, p: Profile) -> Column:
+    return token_shape(c, p) & ~is_noise(c, p)
 
 
 def infer_type(c: Column, rules, default: str) -> Column:

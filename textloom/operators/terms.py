@@ -12,15 +12,27 @@ from textloom.functions import text as X
 from textloom.profile import Profile
 
 
+def _parts(p: Profile, text_col: str) -> Column:
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    return F.split(c, "[^一-鿿A-Za-z0-9]+") if p.name == "zh" else F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
 def tokens(docs: DataFrame, p: Profile, text_col: str = "text") -> DataFrame:
     """docs with ``tokens``: the valid tokens of the whole text in order, in normal form."""
-    c = F.coalesce(F.col(text_col), F.lit(""))
-    parts = F.split(c, "[^一-鿿A-Za-z0-9]+") if p.name == "zh" else F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
-    return docs.withColumn("tokens", F.transform(F.filter(parts, lambda t: X.valid_token(t, p)), X.normalize_term))
+    return docs.withColumn("tokens", F.transform(F.filter(_parts(p, text_col), lambda t: X.valid_token(t, p)), X.normalize_term))
+
+
+def token_counts(docs: DataFrame, p: Profile, by: str | None = None, text_col: str = "text") -> DataFrame:
+    """(by,) term, tf of the valid tokens. Noise is judged once per distinct token, after the first count."""
+    keys = ["d"] if by else []
+    cols = [F.col(by).alias("d")] if by else []
+    raw = docs.select(*cols, F.explode(_parts(p, text_col)).alias("token")).where(X.token_shape(F.col("token"), p))
+    n = raw.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf")).where(~X.is_noise(F.col("token"), p))
+    return n.groupBy(*keys, X.normalize_term(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def token_freq(docs: DataFrame, p: Profile) -> DataFrame:
-    return tokens(docs, p).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    return token_counts(docs, p).select(F.col("term").alias("token"), F.col("tf").alias("freq"))
 
 
 def _ngram_arrays(c: Column, n: int, sep: str) -> Column:
@@ -48,9 +60,8 @@ def tfidf(docs: DataFrame, p: Profile, id_col: str = "doc_id", l2: bool = False,
 
     ``l2``: the vocabulary is cut to the most frequent terms and each document's vector has length 1.
     """
-    t = tokens(docs, p)
     n = docs.count()
-    tf = t.select(F.col(id_col).alias("d"), F.explode("tokens").alias("term")).groupBy("d", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = token_counts(docs, p, id_col)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if l2:
         df = df.orderBy(F.col("total").desc(), "term").limit(vocabulary)
