@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,20 +86,29 @@ def needle_counts(docs: DataFrame, needles: list[str], text_col: str = "text") -
         import ahocorasick
 
         words = sent.value
-        found = [0] * len(words)
-        auto = ahocorasick.Automaton()
+        one, plain, bordered = {}, ahocorasick.Automaton(), ahocorasick.Automaton()
         for i, w in enumerate(words):
-            auto.add_word(w, i)
-        auto.make_automaton()
+            if len(w) == 1:
+                one[w] = i
+            else:  # only a needle that begins as it ends can overlap itself
+                (bordered if any(w.startswith(w[k:]) for k in range(1, len(w))) else plain).add_word(w, i)
+        chars, found = Counter(), Counter()
+        for a in (plain, bordered):
+            if len(a):
+                a.make_automaton()
         for p in parts:
             for t in p["t"]:
+                chars.update(t)
+                if len(plain):
+                    found.update(map(itemgetter(1), plain.iter(t)))
                 free: dict[int, int] = {}
-                for end, i in auto.iter(t):
+                for end, i in bordered.iter(t) if len(bordered) else ():
                     if end - len(words[i]) + 1 >= free.get(i, 0):
                         found[i] += 1
                         free[i] = end + 1
-        if any(found):
-            yield pd.DataFrame({"needle": [w for w, n in zip(words, found, strict=True) if n], "n": [n for n in found if n]})
+        found.update({i: chars[w] for w, i in one.items() if chars[w]})
+        if found:
+            yield pd.DataFrame({"needle": [words[i] for i in found], "n": list(found.values())})
 
     if not sent.value:
         return spark.createDataFrame([], "needle string, n long")

@@ -19,7 +19,7 @@ from textloom.sources import io
 
 P = ZH
 HUB = "低可探测风洞模型"
-PMI_CAP, TOP = 60, 300
+PMI_CAP, TOP = 60, 300  # the cap of the SQL alone; the queries take P.max_pmi
 ALLOWED = ("ControlMethod", "Mechanism", "Structure", "Performance", "Mission", "Parameter", "Aircraft", "Document", "Concept")
 
 
@@ -144,7 +144,7 @@ def tfidf_l2(spark: SparkSession, d: str) -> DataFrame:
 
 def pmi_char(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    return T.pmi(docs, T.ngram_candidates(docs, P), PMI_CAP).select("term", F.round("pmi", 5).alias("pmi"))
+    return T.pmi(docs, T.ngram_candidates(docs, P), P.max_pmi).select("term", F.round("pmi", 5).alias("pmi"))
 
 
 def pmi_token(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ def pmi_token(spark: SparkSession, d: str) -> DataFrame:
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
     freq = T.ngram_candidates(docs, P)
-    got = T.term_scores(freq, T.tfidf(docs, P), T.pmi(docs, freq, PMI_CAP), P)
+    got = T.term_scores(freq, T.tfidf(docs, P), T.pmi(docs, freq, P.max_pmi), P)
     return got.select("term", "freq", F.round("score", 3).alias("score"), "entity_type")
 
 
