@@ -2,6 +2,11 @@
 
 import math
 
+import numpy as np
+
+from textloom.llm.common import usual
+from textloom.llm.encodings import pair_counts
+from textloom.llm.scans import Contexts, _masked, codes, context_counts
 from textloom.operators import terms as T
 from textloom.plans import registry
 from textloom.profile import ZH
@@ -26,3 +31,15 @@ def test_cohesion_of_all_candidates(spark, tmp_path):
     plain = {r.term: r.score for r in T.term_scores(T.ngram_candidates(docs, ZH), T.tfidf(docs, ZH), T.pmi(docs, T.ngram_candidates(docs, ZH), 0), ZH).collect()}
     for r in registry.term_scores(spark, str(tmp_path)).collect():
         assert abs(r.score - plain[r.term] - 0.1 * max(0, want.get(r.term, 0))) < 2e-3, r.term
+
+
+def test_statistics_follow_the_data(spark):
+    rows = spark.createDataFrame([("机翼可以折叠",)] * 8, "text string")
+    got = [sorted(map(tuple, counts(rows.repartition(k)).collect())) for counts in (context_counts, lambda d: usual(pair_counts(d), "pairs")) for k in (1, 8)]
+    assert got[0] == got[1] and got[2] == got[3] and {n for _, n in got[0] + got[2]} == {8}
+    rng = np.random.default_rng(5)
+    many = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 1000))) for _ in range(300)]
+    kept = context_counts(spark.createDataFrame([(t,) for t in many * 2], "text string")).toPandas()
+    assert len(kept) > 1 << 19
+    found = Contexts(kept["key"].to_numpy(), kept["n"].to_numpy()).at(_masked(codes(many[0])))
+    assert (np.maximum(found["s1"], found["s2"]) > 0).all()

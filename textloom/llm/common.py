@@ -64,18 +64,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def most_frequent(counts: DataFrame, most: int, what: str) -> DataFrame:
-    """The usual rows of a table with counts ``n``, at most ``most``: all rows from the least count on with
-    which they fit. The count is found from the numbers of rows by count, so nothing is sorted."""
-    kept = stored(counts, scratch(counts.sparkSession, what))
-    top = F.least(F.col("n"), F.lit(10_000)).alias("n")
-    left, least = most, 10_001
-    for r in sorted(kept.groupBy(top).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["n"]):
-        left -= r["k"]
-        if left < 0:
-            break
-        least = r["n"]
-    return kept.where(F.col("n") >= least)
+def usual(counts: DataFrame, what: str, share: float = 2.0**-26) -> DataFrame:
+    """The rows of a table with counts ``n`` that occur more than once and make up ``share`` of all such at
+    least. ``n`` are sums over all tasks, so neither partitioning nor a size decides what is kept: the table
+    grows with the variety of the data."""
+    kept = stored(counts.where("n > 1"), scratch(counts.sparkSession, what))
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    return kept.where(F.col("n") >= share * total)
 
 
 def pieces(texts: list, rows: int = 512, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import most_frequent, pieces, scratch, stored
+from textloom.llm.common import pieces, scratch, stored, usual
 
 SEP = "\x1e"
 # Texts in UTF-8 read with one byte, or with up to two bytes, a character.
@@ -101,9 +101,8 @@ def pairs_of(c: np.ndarray) -> np.ndarray:
     return (c[:-1].astype(np.int64) << 21) | c[1:]
 
 
-def pair_counts(df: DataFrame, text_col: str = "text", most: int = 1 << 20) -> DataFrame:
-    """pair, n: neighbouring characters over all texts that occur more than once in some task's share,
-    the ``most`` usual ones (the model's size)."""
+def pair_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """pair, n: neighbouring characters over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -124,17 +123,16 @@ def pair_counts(df: DataFrame, text_col: str = "text", most: int = 1 << 20) -> D
                 kept = merge([kept, *waiting])
                 waiting = []
         kept = merge([kept, *waiting]) if waiting else kept
-        some = kept[1] > 1
-        yield pa.RecordBatch.from_arrays([pa.array(kept[0][some]), pa.array(kept[1][some])], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["pair", "n"])
 
-    counts = df.select(F.col(text_col).alias("t")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return most_frequent(counts, most, "pairs")
+    return df.select(F.col(text_col).alias("t")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
     """Log share of each pair of neighbours, in a hash table of tagged slots; unseen pairs have the floor."""
 
     def __init__(self, pair: np.ndarray, n: np.ndarray, log_slots: int = 22):
+        log_slots = max(log_slots, (4 * len(pair)).bit_length())
         self.shift = np.uint64(64 - log_slots)
         self.total = float(max(1, n.sum()))
         self.floor = np.float32(np.log(0.3 / self.total))
@@ -407,7 +405,7 @@ def find_damage(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "sentence_id")
     Rows without any such stretch are left out (their posterior is below 1/1000). Null texts are no
     cases, repeated rows count once, an empty table gives an empty result, long texts are read
     whole. ``chain`` is "lost" where replacement marks show that characters are gone; these stay.
-    The pair model (at most 2**20 pairs, 16 MB) is fitted on all texts; after a first round the
+    The pair model (the pairs of a least share of all, 16 bytes each) is fitted on all texts; after a first round the
     pairs of damaged rows are taken out of it by their posterior, and the rows with evidence
     are weighed again. ``rounds`` of expectation-maximization learn the chains of each source
     with ``strength`` rows' worth of the whole field's shares. ``background``: texts of the same kind
@@ -416,7 +414,8 @@ def find_damage(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "sentence_id")
     spark = df.sparkSession
     keys = list(keys)
     rows = df.select(*keys, F.col(text_col).alias("text")).where("text is not null")
-    counts = pair_counts(rows if background is None else background.select(F.col(text_col).alias("text"))).toArrow()
+    known = usual(pair_counts(rows if background is None else background.select(F.col(text_col).alias("text"))), "pairs")
+    counts = known.toArrow()
     pair, n = counts["pair"].to_numpy(), counts["n"].to_numpy()
     sent = spark.sparkContext.broadcast((pair, n))
     first = stored(_evidence(rows, keys, sent), scratch(spark, "evidence")).dropDuplicates(keys)
@@ -425,7 +424,7 @@ def find_damage(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "sentence_id")
     n_rows = int(sizes.agg(F.sum("n_source")).first()[0] or 0)
     post = _posterior(first, sizes, keys, source, n_rows, rounds, strength)
     bad = stored(first.join(post, keys), scratch(spark, "first-round"))
-    gone = pair_counts(bad.where("damaged > 0.5").select("text")).toArrow()
+    gone = pair_counts(bad.where("damaged > 0.5").select("text")).join(known.select("pair"), "pair", "left_semi").toArrow()
     order = np.argsort(pair)
     at = order[np.minimum(np.searchsorted(pair[order], gone["pair"].to_numpy()), max(0, len(pair) - 1))] if len(pair) else np.zeros(0, np.int64)
     same = pair[at] == gone["pair"].to_numpy() if len(pair) else np.zeros(0, bool)
