@@ -8,6 +8,7 @@ subsequence within a stretch of twice the item.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -236,6 +237,24 @@ def latent(df: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return idf, q.astype(np.float32)
 
 
+def _best(items: Items, k: int, seq: np.ndarray, reach: np.ndarray, need: float) -> int:
+    """The common subsequence of item k and the first stretch seq[s : reach[s]] found to have ``need`` terms of it,
+    or one below ``need`` if there is none: the fullest stretch is tried first, then all from left to right. A start
+    adds no terms but those its stretch reaches further, so starts that can't make up for what lacks are skipped."""
+    held = reach - np.arange(len(reach))
+    s = int(held.argmax())
+    best = items.common(k, seq[s : reach[s]])
+    s = 0
+    while best < need and s < len(seq):
+        if held[s] < need:
+            s += 1
+            continue
+        got = items.common(k, seq[s : reach[s]])
+        best = max(best, got)
+        s = max(s + 1, int(np.searchsorted(reach, reach[s] + math.ceil(need - got))))
+    return best
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                share: float = 0.4, cosine: float = 0.6, dims: int = 64) -> DataFrame:
     """``id_col``, ``item_col`` and share (of the item's terms in order, in one stretch of twice the item).
@@ -301,14 +320,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     inside = it.member[k][term[x0:x1]]
                     pos, seq = at[x0:x1][inside], term[x0:x1][inside]
                     reach = np.searchsorted(pos, pos + 2 * it.size[k])
-                    held = reach - np.arange(len(pos))
-                    best, done = 0, -1
-                    for s in np.argsort(-held, kind="stable")[:64].tolist():
-                        if held[s] < max(need, best) or abs(s - done) < 8 and done >= 0:
-                            break
-                        best, done = max(best, it.common(k, seq[s : reach[s]])), s
-                        if best >= need:
-                            break
+                    best = _best(it, k, seq, reach, need)
                     if best >= need:
                         out.append((rows[d][0], it.ids[k], best / len(it.terms[k])))
                 if out:
