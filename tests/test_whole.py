@@ -11,6 +11,7 @@ from textloom.llm.leaks import Items, _best, find_leaks
 from textloom.llm.scans import Contexts, _masked, codes, context_counts
 from textloom.operators import terms as T
 from textloom.plans import registry
+from textloom.plans.pipeline import dictionary
 from textloom.profile import ZH
 
 
@@ -65,3 +66,15 @@ def test_every_stretch_is_weighed():
         most = max(it.common(0, seq[s : reach[s]]) for s in range(60))
         for need in (most - 0.5, most, most + 0.3):
             assert (_best(it, 0, seq, reach, need) >= need) == (most >= need)
+
+
+def test_dictionary_is_ranked_with_cohesion(spark):
+    docs = spark.createDataFrame([("a", "乾坤。乾坤。舵翼。舵翼。乾乾乾乾乾坤坤坤坤坤")], "doc_id string, text string")  # 乾坤 is first by term alone
+    assert [r.term for r in dictionary(docs, ZH, 1).collect()] == ["舵翼"]
+
+
+def test_graph_takes_its_terms_from_the_documents(spark, tmp_path):
+    docs = [("a", "折翼飞机采用变形驱动。折翼飞机，变形驱动"), ("b", "折翼飞机。变形驱动")]
+    spark.createDataFrame(docs, "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "canonical string, entity_type string").write.parquet(str(tmp_path / "term_reference.parquet"))
+    assert registry.graph_from_documents(spark, str(tmp_path)).count() > 0

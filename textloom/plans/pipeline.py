@@ -22,7 +22,7 @@ STAGES = ("preprocess", "terms", "extract", "relation", "kg")
 def dictionary(docs: DataFrame, p: Profile, k: int, id_col: str = "doc_id") -> DataFrame:
     """term, entity_type: the k best candidate terms of the documents that no rule rejects."""
     freq = T.ngram_candidates(docs, p)
-    scored = T.term_scores(freq, T.tfidf(docs, p, id_col), freq.select("term", F.lit(0.0).alias("pmi")), p)
+    scored = T.term_scores(freq, T.tfidf(docs, p, id_col), T.pmi(docs, freq, p.max_pmi), p)
     kept = T.finalize_terms(scored.withColumn("alias", F.lit("")), p).where("reject_reason is null") if p.final_noise else scored
     return T.top_terms(kept, k).select("term", "entity_type")
 

@@ -357,7 +357,7 @@ def doccano_export(spark: SparkSession, d: str) -> DataFrame:
 def graph_from_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole way: documents to sentences, dictionary, mentions, relations and the top-degree overview."""
     docs = documents(spark, d)
-    n, e = pipeline.graph(D.sentences(docs, P), reference(spark, d), P)
+    n, e = pipeline.graph(D.sentences(docs, P), pipeline.dictionary(docs, P, P.max_terms), P)
     return G.overview(n, e, 2000)
 
 
