@@ -1,13 +1,16 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textloom.llm.aliases import delete_hashes, map_names
 from textloom.llm.copies import collapse_copies
-from textloom.llm.leaks import Items, find_leaks
+from textloom.llm.leaks import Items, find_leaks, folded, grams
 from textloom.llm.scans import SPACE, find_traces, is_listing, mend
+from textloom.llm.script import simplified
 from textloom.llm.tokens import VOCABULARY, Lexicon, encode, load_ranks, merge_word
 
 GROUPS = [
@@ -88,6 +91,57 @@ def test_leaks(spark):
     assert find_leaks(d.limit(0), q).count() == 0 and find_leaks(d, q.limit(0)).count() == 0
 
 
+def test_leaks_reworded_tiny_and_in_blocks(spark):
+    r = random.Random(9)
+    words = [w for w in "lift drag wing control load path bench sensor fold hinge trim spar rib skin actuator gust margin mode sweep joint panel torque bearing damper".split()]
+    filler = "north river garden window market yellow engine doctor paper winter bridge letter silver orange".split()
+    text = lambda n: " ".join(r.choice(words) if i % 9 else f"{r.randint(100, 999)}.{r.randint(1, 9)}" for i in range(n))
+    items = [(1, text(120)), (2, text(120)), (3, "机翼"), (4, "!?"), (5, " ".join(r.choice(words) for _ in range(3)))]
+    changed = [w if i % 7 not in (0, 3) or any(c.isdigit() for c in w) else r.choice(filler) for i, w in enumerate(items[0][1].split())]
+    numbers_gone = [w if not any(c.isdigit() for c in w) else "7" for w in changed]
+    other = " ".join(r.choice(filler) for _ in range(400))
+    docs = [(10, f"{other} {' '.join(changed)} {other}"), (11, f"{other} {' '.join(numbers_gone)} {other}"), (12, f"{other} {items[1][1]}"), (13, "折叠机翼。"), (14, f"{other} {items[4][1]} {other}"), (15, other)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ix = Items([1], [items[0][1]])
+    f, _ = folded([docs[0][1]])
+    term = ix.find(grams(f))
+    assert ix.held(np.unique(term[term >= 0]))[0] < 0.4 * len(ix.terms[0])  # runs of letters alone would miss the reworded one
+    want = {(10, 1), (12, 2), (13, 3), (14, 5)}
+    for block in (1_000_000, 300):
+        assert {(x.doc_id, x.item_id) for x in find_leaks(d, q, block_chars=block).collect()} == want
+
+
+def test_leak_in_other_script(spark):
+    r = random.Random(4)
+    body = "".join(r.choice("升力系数阻尼控制律飞行器机翼蒙皮应变温压分布模型传感网络折叠结构驱动") for _ in range(120))
+    to = {v: k for k, v in simplified(spark).items() if 0x4E00 <= k <= 0x9FFF and chr(k) in "數制飛機應變溫壓傳網絡疊結構驅動"}
+    d = spark.createDataFrame([(1, body.translate(to)), (2, "".join(r.choice("甲乙丙丁戊") for _ in range(300)))], "doc_id long, text string")
+    assert body.translate(to) != body
+    assert [(x.doc_id, x.item_id) for x in find_leaks(d, spark.createDataFrame([(7, body)], "item_id long, text string")).collect()] == [(1, 7)]
+
+
+def test_names(spark):
+    ref = spark.createDataFrame([(1, "车轮驱动结构", "wheel drive structure", "WDS"), (2, "车轮结构", None, None), (3, "n" * 60 + "x" * 109, None, None), (4, None, "", None)],
+                                "ref_id long, canonical string, name_en string, abbrev string")
+    want = {0: ("車輪驅動結構", 1), 1: ("飛輪結構", -1), 2: ("亂縣結構", -1), 3: ("車輪結構", 2), 4: ("whele drive strcture", 1), 5: ("n" * 59 + "q" + "x" * 109, 3), 6: ("WDS", 1), 7: ("y" * 5000, -1),
+            8: ("wheel", -1), 9: ("【车轮驱动结构】", 1), 10: ("structure, wheel drive", 1)}
+    rows = [(i, v, "z") for i, (v, _) in want.items()] + [(0, "車輪驅動結構", "z"), (90, None, "z"), (91, " \u3000", "z")]
+    df = spark.createDataFrame(rows, "alias_id long, alias string, ref_id string")
+    assert {x.id: x.ref_id for x in map_names(df, ref, "alias_id", "alias").collect()} == {i: k for i, (_, k) in want.items()}
+    assert {x.ref_id for x in map_names(df, ref.limit(0), "alias_id", "alias").collect()} == {-1}
+    assert map_names(df.limit(0), ref, "alias_id", "alias").count() == 0
+
+
+@given(st.text("abcdeé中", min_size=0, max_size=12), st.integers(1, 2))
+@settings(max_examples=60, deadline=None)
+def test_delete_hashes(s, depth):
+    whole = lambda x: int(next(delete_hashes(x, 0))[0])
+    want = {whole(s)} | {whole(s[:i] + s[i + 1 :]) for i in range(len(s))}
+    if depth > 1:
+        want |= {whole(s[:i] + s[i + 1 : j] + s[j + 1 :]) for i in range(len(s)) for j in range(i + 1, len(s))}
+    assert {int(h) for part in delete_hashes(s, depth) for h in part} == want
+
+
 def test_common_subsequence_is_exact():
     r = random.Random(1)
     it = Items([1], ["".join(r.choice("甲乙丙丁") for _ in range(60))])
@@ -98,8 +152,6 @@ def test_common_subsequence_is_exact():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        import numpy as np
-
         assert it.common(0, np.array(seq)) == t[-1][-1]
 
 

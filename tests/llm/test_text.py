@@ -1,7 +1,8 @@
 import pytest
 
-from textloom.llm.aliases import ReferenceIndex, deletes, edit_distance, map_names
+from textloom.llm.aliases import ReferenceIndex, edit_distance, map_names
 from textloom.llm.encodings import find_damage
+from textloom.llm.script import simplified
 from textloom.llm.sentences import split_offsets, split_sentences
 from textloom.llm.spam import find_spam, shingles, strung
 
@@ -43,14 +44,13 @@ REF = [(1, "推力矢量传力路径", "thrust vectoring load path", "TVLP"), (2
     ("load path, thrust vectoring", 1), ("Thrust_Vectoring_Load_Paths", 1), ("thrust vectoringload pth", 1), ("新型双稳态锁定装置（BLD）", 2), ("雙穩態鎖定裝置", 2),
     ("柔性後緣線束接口", 3), ("双稳态传力路径", -1), ("推力矢量锁定装置", -1), ("折纸构形传力路径", -1), ("tbd", -1), ("load path", -1), ("", -1), (None, -1),
 ])
-def test_names(value, ref):
-    assert ReferenceIndex(REF).lookup(value) == ref
+def test_names(value, ref, spark):
+    assert ReferenceIndex(REF, variants=simplified(spark)).lookup(value) == ref
 
 
 def test_distance_matches_neighbourhood():
     assert edit_distance("abcd", "abdc", 2) == 0.8 and edit_distance("abbc", "abc", 2) == 0.7
     assert edit_distance("abcdef", "uvwxyz", 2) == float("inf")
-    assert deletes("abc", 1) == {"abc", "ab", "ac", "bc"}
 
 
 def test_map_names(spark):

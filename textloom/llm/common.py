@@ -58,6 +58,17 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
 
 
+def shared_file(spark: SparkSession, what: str, data: bytes) -> str:
+    """Write bytes to the shared folder and have every executor fetch them once; the name for ``SparkFiles.get``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, what)}.bin")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    for i in range(0, len(data), 1 << 24):
+        out.write(bytearray(data[i : i + (1 << 24)]))
+    out.close()
+    spark.sparkContext.addFile(at.toString())
+    return at.getName()
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     df.write.mode("overwrite").parquet(path)

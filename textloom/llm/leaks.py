@@ -1,9 +1,11 @@
 """Evaluation texts inside a corpus (problem 9).
 
-Latent semantic retrieval: passages of all documents over the terms of the evaluation items, term
-weights from the whole corpus, a randomised SVD whose sketch is summed over the partitions, cosine
-search of item passages in the latent space, and for every candidate pair a longest common
-subsequence within a stretch of twice the item.
+Latent semantic retrieval. The terms of the evaluation items (runs of letters) are looked up in all documents once
+and stored as hits. Over the hits' TF-IDF passages a randomised SVD is distributed: a sketch of the range, its
+orthonormal basis, the projected second moments, their decomposition, truncated. A cosine search of item passages
+in the latent space gives the candidates; for each a longest common subsequence within a stretch of twice the
+item decides, and where words were changed throughout (so that runs of letters break) the words in order and the
+answers, the item's numbers and codes.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,34 +23,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import pieces, scratch, stored
-from textloom.llm.script import fold_variant
+from textloom.llm.script import simplified
 
 SEP = "\x1e"
 HAN_GRAM, OTHER_GRAM = 4, 9
 _COMBINING = re.compile("[\u0300-\u036f\u3099\u309a]")
+_WORD = re.compile(r"[^\W_]+")
+_HAN_RUN = re.compile("[\u3005-\u9fff]+")
 
 
-@lru_cache(maxsize=1)
-def _fold_table() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _fold_table(variants: tuple[tuple[int, int], ...] = ()) -> np.ndarray:
     """Each character's folded form, 0 for all but letters and digits."""
+    to = dict(variants)
     out = np.zeros(0x10000, np.uint32)
     for c in range(0x10000):
         ch = chr(c)
         if ch.isalnum():
             n = unicodedata.normalize("NFKC", ch).lower()
-            out[c] = ord(fold_variant(n)) if len(n) == 1 else c
+            out[c] = to.get(ord(n), ord(n)) if len(n) == 1 else c
     out[0x1E] = 0x1E
     return out
 
 
-def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and digits of all texts in one array, in compatibility form, lower case, without
-    differences of script variant; and where each text begins in it."""
+def folded(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits of all texts in one array, in compatibility form, lower case and simplified
+    script; and where each text begins in it."""
     if not texts:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    table = _fold_table() if table is None else table
     clean = [unicodedata.normalize("NFKC", t) if _COMBINING.search(t) else t for t in texts]
     c = np.frombuffer((SEP.join(t.replace(SEP, " ") for t in clean) + SEP).encode("utf-32-le", "surrogatepass"), np.uint32)
-    f = np.where(c < 0x10000, _fold_table()[np.minimum(c, 0xFFFF)], c)
+    f = np.where(c < 0x10000, table[np.minimum(c, 0xFFFF)], c)
     f = f[f > 0]
     ends = np.flatnonzero(f == 0x1E)
     return f, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
@@ -82,22 +89,53 @@ def grams(f: np.ndarray) -> np.ndarray:
     return h
 
 
+def words_of(text: str, table: np.ndarray) -> tuple[list[str], list[int], list[int]]:
+    """A text's words (two neighbouring characters of Han and kana runs, else runs of letters and digits) in folded
+    form, the letters each stands for, and where each begins among the text's letters."""
+    out, size, at, n = [], [], [], 0
+    for m in _WORD.finditer(text):
+        w = m.group()
+        f = table[np.minimum(np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+        w = "".join(map(chr, f[f > 0].tolist()))
+        i = 0
+        for run in _HAN_RUN.finditer(w):
+            if run.start() > i:
+                out.append(w[i : run.start()])
+                size.append(run.start() - i)
+                at.append(n + i)
+            r = run.group()
+            for j in range(max(1, len(r) - 1)):
+                out.append(r[j : j + 2])
+                size.append(1 if j or len(r) < 2 else 2)
+                at.append(n + run.start() + j)
+            i = run.end()
+        if i < len(w):
+            out.append(w[i:])
+            size.append(len(w) - i)
+            at.append(n + i)
+        n += len(w)
+    return out, size, at
+
+
 class Items:
-    """The evaluation items: their terms, the terms' numbers, and blocks of them as query passages."""
+    """The evaluation items: their terms, the terms' numbers, which items have each, blocks of them as query passages."""
 
-    def __init__(self, ids: list[int], texts: list[str], block: int = 120, log_slots: int = 20):
-        self.block = block
-        f, starts = folded(texts)
+    def __init__(self, ids: list[int], texts: list[str], block: int = 120, log_slots: int = 20, variants: dict[int, int] | None = None):
+        self.block, self.variants = block, tuple(sorted((variants or {}).items()))
+        f, starts = folded(texts, self.table)
         h = grams(f)
         ends = np.concatenate([starts[1:] - 1, [len(f) - 1]]) if len(starts) else np.zeros(0, np.int64)
         self.vocabulary = np.unique(h[h >= 0])
-        self.ids, self.size, self.terms = [], [], []
-        for i, a, z in zip(ids, starts, ends, strict=True):
+        self.ids, self.size, self.terms, self.texts, self.tiny = [], [], [], [], []
+        for i, t, a, z in zip(ids, texts, starts, ends, strict=True):
             g = h[a:z]
-            if (g >= 0).sum() >= 8:  # shorter items cannot be told from stock phrases
+            if (g >= 0).any():
                 self.ids.append(i)
                 self.size.append(int(z - a))
                 self.terms.append(np.searchsorted(self.vocabulary, g[g >= 0]).astype(np.int32))
+                self.texts.append(t)
+            elif z > a:  # shorter than a term: only the whole of it can be found
+                self.tiny.append((i, f[a:z].astype("<u4").tobytes().decode("utf-32-le", "replace")))
         while (1 << log_slots) < 8 * max(1, len(self.vocabulary)):
             log_slots += 1
         self.log_slots = log_slots
@@ -108,13 +146,18 @@ class Items:
             self.slot[t][s] = todo
             todo = todo[self.slot[t][s] != todo]
         self.rest = {int(self.vocabulary[i]): int(i) for i in todo}
-        # Of every four terms, told by their hash, one is a coordinate of the latent space.
-        self.latent = self.vocabulary % 4 == 0
         self.passages = [(k, t[a : a + block]) for k, t in enumerate(self.terms) for a in range(0, max(1, len(t) - block // 3), block)]
-        self.member = np.zeros((len(self.ids), max(1, len(self.vocabulary))), bool)
-        for k, t in enumerate(self.terms):
-            self.member[k, t] = True
+        # Which items have each term and how often, as one list with its bounds by term.
+        pairs, self.times = np.unique(np.concatenate([np.zeros(0, np.int64), *[(t.astype(np.int64) << 32) | k for k, t in enumerate(self.terms)]]), return_counts=True)
+        self.owner = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.owned = np.searchsorted(pairs >> 32, np.arange(len(self.vocabulary) + 1))
         self._masks: dict[int, dict[int, int]] = {}
+        self._words: dict[int, tuple] = {}
+        self._own: dict[int, np.ndarray] = {}
+
+    @property
+    def table(self) -> np.ndarray:
+        return _fold_table(self.variants)
 
     def _place(self, h: np.ndarray, t: int) -> np.ndarray:
         y = h.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F if t == 0 else 0x165667B19E3779F9)
@@ -133,6 +176,18 @@ class Items:
             out[h == value] = i
         return out.astype(np.int32)
 
+    def held(self, term: np.ndarray) -> np.ndarray:
+        """How many places of each item have one of these (different) terms: no common subsequence is longer."""
+        n = self.owned[term + 1] - self.owned[term]
+        at = np.repeat(self.owned[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.owner[at], self.times[at], len(self.ids))
+
+    def has(self, k: int) -> np.ndarray:
+        """The numbers of item k's terms, in order."""
+        if k not in self._own:
+            self._own[k] = np.unique(self.terms[k])
+        return self._own[k]
+
     def common(self, k: int, seq: np.ndarray) -> int:
         """Length of the longest common subsequence of item k's terms and a sequence of terms (bit-parallel)."""
         masks = self._masks.get(k)
@@ -149,6 +204,31 @@ class Items:
                 v = ((v + u) | (v - u)) & full
         return len(self.terms[k]) - v.bit_count()
 
+    def reworded(self, k: int, text: tuple[list[str], list[int], list[int]], start: int) -> float:
+        """The share of item k's letters whose words stand in order in the stretch of a text (its ``words_of``) from letter
+        ``start`` on, twice the item long; 0 below one half, and if fewer than four in five of its answers (numbers and
+        codes) stand there."""
+        if k not in self._words:
+            words, size, _ = words_of(self.texts[k], self.table)
+            weight: dict[str, int] = {}
+            for w, n in zip(words, size, strict=True):
+                weight[w] = weight.get(w, 0) + n
+            self._words[k] = words, size, weight, {w for w in words if any(c.isdigit() for c in w)}
+        words, size, weight, answers = self._words[k]
+        got = text[0][bisect_left(text[2], start) : bisect_left(text[2], start + 2 * self.size[k])]
+        there, total = set(got), sum(size)
+        if len(answers & there) < 0.8 * len(answers) or sum(weight[w] for w in there if w in weight) < 0.5 * total:
+            return 0.0
+        best = [0] * (len(words) + 1)  # heaviest common subsequence with the words of the stretch so far
+        for w in got:
+            if w in weight:
+                before = 0
+                for j, x in enumerate(words):
+                    old = best[j + 1]
+                    best[j + 1] = max(old, best[j], before + size[j] if x == w else 0)
+                    before = old
+        return best[-1] / total if best[-1] >= 0.5 * total else 0.0
+
 
 def windows(starts: np.ndarray, ends: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, start and end of the passages of all texts."""
@@ -159,14 +239,6 @@ def windows(starts: np.ndarray, ends: np.ndarray, size: int, step: int) -> tuple
     return doc, a, np.minimum(a + size, ends[doc])
 
 
-def _hits(texts: list[str], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    f, starts = folded(texts)
-    term = items.find(grams(f))
-    ends = np.concatenate([starts[1:] - 1, [len(f) - 1]])
-    at = np.flatnonzero(term >= 0)
-    return at, term[at], starts, ends
-
-
 def _sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Sum of rows[lo:hi] for each pair."""
     if not len(rows):
@@ -176,155 +248,277 @@ def _sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return total
 
 
-def sketch(docs: DataFrame, text_col: str, sent, dims: int, seed: int = 11, blocks: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
-    """Passages that hold each term, the summed sketch T'(T R) over all passages for a random matrix R, and
-    the number of passages. A task hands on one matrix of terms x dims; blocks of it are summed by key."""
+HITS = "at array<int>, term array<int>, text string"
+
+
+def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float) -> DataFrame:
+    """d, at, term, text: each document's places (among its letters) at which a term of an item begins, of the
+    documents that have any. ``text`` goes with those that have ``doubtful`` of some item's different terms, for the
+    check of words. A tiny item that the document has whole is a row with term -1 - (its number) and no place."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: Items = sent.value
-        n_terms = max(1, len(items.vocabulary))
-        r = np.random.default_rng(seed).standard_normal((n_terms, dims)).astype(np.float32)
-        df, g, n = np.zeros(n_terms, np.int64), np.zeros((n_terms, dims), np.float32), 0
-        size = 2 * items.block
+        most = np.array([len(t) for t in items.terms])
         for p in parts:
             every = p["t"].tolist()
             for i, j in pieces(every):
-                texts = [t for t in every[i:j] if t]
-                if not texts:
+                rows = [n for n in range(i, j) if every[n]]
+                f, starts = folded([every[n] for n in rows], items.table)
+                if not len(f):
                     continue
-                at, term, starts, ends = _hits(texts, items)
-                at, term = at[items.latent[term]], term[items.latent[term]]
+                term = items.find(grams(f))
+                ends = np.concatenate([starts[1:] - 1, [len(f) - 1]])
+                at = np.flatnonzero(term >= 0)
+                lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+                out = []
+                for n, a, z, s in zip(rows, lo, hi, starts, strict=True):
+                    if z > a:
+                        t = term[at[a:z]]
+                        carry = (items.held(np.unique(t)) >= doubtful * most).any()
+                        out.append((p["d"].iloc[n], (at[a:z] - s).astype(np.int32), t, every[n] if carry else None))
+                if items.tiny:
+                    for n, a, z in zip(rows, starts, ends, strict=True):
+                        letters = f[a:z].astype("<u4").tobytes().decode("utf-32-le", "replace")
+                        found = [-1 - m for m, (_, w) in enumerate(items.tiny) if w in letters]
+                        if found:
+                            out.append((p["d"].iloc[n], np.zeros(0, np.int32), np.array(found, np.int32), None))
+                if out:
+                    yield pd.DataFrame(out, columns=["d", "at", "term", "text"])
+
+    return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, f"d {kind}, {HITS}")
+
+
+def _joined(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and terms of several documents one after the other, and where each begins and ends; documents lie a
+    whole passage apart."""
+    at, starts, ends, base = [], [], [], 0
+    for x in p["at"]:
+        n = int(x[-1]) + 1 if len(x) else 0
+        at.append(np.asarray(x, np.int64) + base)
+        starts.append(base)
+        ends.append(base + n)
+        base += n + 1
+    return np.concatenate(at), np.concatenate([np.asarray(x) for x in p["term"]]), np.array(starts), np.array(ends)
+
+
+def _batches(p: pd.DataFrame, hits: int = 400_000) -> Iterator[pd.DataFrame]:
+    size = p["term"].map(len).to_numpy()
+    if len(size):
+        for _, q in p.groupby(np.cumsum(size) // hits, sort=False):
+            yield q
+
+
+def sketch(hits: DataFrame, sent, dims: int, seed: int = 11, width: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+    """Passages that hold each term, the summed sketch T'(T R) over all passages for a random matrix R, and
+    the number of passages. A task hands on the rows of the terms it has seen, in blocks of ``width`` terms; the
+    blocks are shuffled by number and summed one by one as they arrive in order, so nothing is gathered."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: Items = sent.value
+        n_terms = len(items.vocabulary)
+        r = np.random.default_rng(seed).standard_normal((n_terms, dims)).astype(np.float32)
+        df, g, n = np.zeros(n_terms + width, np.int64), np.zeros((n_terms + width, dims), np.float32), 0
+        size = 2 * items.block
+        for whole in parts:
+            for p in _batches(whole):
+                at, term, starts, ends = _joined(p)
                 _, a, z = windows(starts, ends, size, size)
                 n += len(a)
-                if not len(at):
-                    continue
                 w = np.searchsorted(a, at, "right") - 1
                 key = np.unique(w.astype(np.int64) * n_terms + term)  # each term once a passage
                 w, term = key // n_terms, key % n_terms
-                df += np.bincount(term, minlength=n_terms)
                 lo = np.searchsorted(w, np.arange(len(a)))
                 y = _sums(r[term], lo, np.append(lo[1:], len(w)))
                 order = np.argsort(term, kind="stable")
-                t, first = np.unique(term[order], return_index=True)
+                t, first, count = np.unique(term[order], return_index=True, return_counts=True)
+                df[t] += count
                 g[t] += np.add.reduceat(y[w[order]], first, axis=0)
-        cut = np.linspace(0, n_terms, blocks + 1).astype(int)
-        for b in range(blocks):
-            yield pd.DataFrame({"b": [b], "df": [df[cut[b] : cut[b + 1]].tobytes()], "g": [g[cut[b] : cut[b + 1]].tobytes()], "n": [n]})
-
-    def add(p: pd.DataFrame) -> pd.DataFrame:
-        d = sum(np.frombuffer(x, np.int64) for x in p["df"])
-        g = sum(np.frombuffer(x, np.float32) for x in p["g"])
-        return pd.DataFrame({"b": [p["b"].iloc[0]], "df": [d.tobytes()], "g": [g.tobytes()], "n": [int(p["n"].sum())]})
-
-    schema = "b int, df binary, g binary, n long"
-    got = docs.select(F.col(text_col).alias("t")).mapInPandas(run, schema).groupBy("b").applyInPandas(add, schema).collect()
-    got = sorted(got, key=lambda r: r["b"])
-    if not got:
-        n_terms = max(1, len(sent.value.vocabulary))
-        return np.zeros(n_terms, np.int64), np.zeros((n_terms, dims), np.float32), 0
-    return (np.concatenate([np.frombuffer(r["df"], np.int64) for r in got]),
-            np.concatenate([np.frombuffer(r["g"], np.float32) for r in got]).reshape(-1, dims), got[0]["n"])
-
-
-def latent(df: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Term weights and an orthonormal basis of the latent space.
-
-    With X = T diag(idf), the range of X'X W for the random W = diag(1/idf) R is that of
-    diag(idf) T'T R: one pass over the corpus gives the document frequencies and the sketch.
+        yield pd.DataFrame({"b": [-1], "df": [np.int64(n).tobytes()], "g": [b""]})
+        for b in np.unique(np.flatnonzero(df) // width).tolist():
+            cut = slice(b * width, (b + 1) * width)
+            yield pd.DataFrame({"b": [b], "df": [df[cut].tobytes()], "g": [g[cut].tobytes()]})
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, d, g = None, None, None
+        for p in parts:
+            for b, x, y in zip(p["b"], p["df"], p["g"], strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.float32)
+                if b == now:
+                    d, g = d + x, g + y
+                    continue
+                if now is not None:
+                    yield pd.DataFrame({"b": [now], "df": [d.tobytes()], "g": [g.tobytes()]})
+                now, d, g = b, x, y
+        if now is not None:
+            yield pd.DataFrame({"b": [now], "df": [d.tobytes()], "g": [g.tobytes()]})
+
+    schema = "b int, df binary, g binary"
+    n_terms, n = len(sent.value.vocabulary), 0
+    df, g = np.zeros(n_terms + width, np.int64), np.zeros((n_terms + width, dims), np.float32)
+    partial = hits.select("at", "term").mapInPandas(run, schema)
+    for r in partial.repartition("b").sortWithinPartitions("b").mapInPandas(add, schema).collect():
+        if r["b"] < 0:
+            n = int(np.frombuffer(r["df"], np.int64)[0])
+        else:
+            cut = slice(r["b"] * width, (r["b"] + 1) * width)
+            df[cut], g[cut] = np.frombuffer(r["df"], np.int64), np.frombuffer(r["g"], np.float32).reshape(-1, dims)
+    return df[:n_terms], g[:n_terms], n
+
+
+def decompose(hits: DataFrame, sent, df: np.ndarray, g: np.ndarray, n: int, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term weights, the ``rank`` right singular vectors and the singular values of the TF-IDF passages.
+
+    With X = T diag(idf), the range of X'X W for the random W = diag(1/idf) R is that of diag(idf) T'T R, the
+    sketch; Q is its orthonormal basis. A second pass over the hits sums the small matrix (X Q)'(X Q), whose
+    eigenvectors turn Q into the singular vectors; those beyond ``rank`` (the oversampling) are cut off.
     """
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + 1e-3
     q, _ = np.linalg.qr((g * idf[:, None]).astype(np.float64))
-    return idf, q.astype(np.float32)
-
+    basis = hits.sparkSession.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
 
-def _best(items: Items, k: int, seq: np.ndarray, reach: np.ndarray, need: float) -> int:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items: Items = sent.value
+        qs = basis.value
+        size, n_terms = 2 * items.block, len(items.vocabulary)
+        total = np.zeros((qs.shape[1],) * 2)
+        for whole in parts:
+            for p in _batches(whole):
+                at, term, starts, ends = _joined(p)
+                _, a, _ = windows(starts, ends, size, size)
+                w = np.searchsorted(a, at, "right") - 1
+                key = np.unique(w.astype(np.int64) * n_terms + term)
+                lo = np.searchsorted(key // n_terms, np.arange(len(a)))
+                y = _sums(qs[key % n_terms], lo, np.append(lo[1:], len(key))).astype(np.float64)
+                total += y.T @ y
+        i, j = np.divmod(np.arange(total.size), total.shape[1])
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total.ravel()})
+
+    moments = np.zeros((q.shape[1],) * 2)
+    for r in hits.select("at", "term").mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        moments[r["i"], r["j"]] = r["v"]
+    values, turn = np.linalg.eigh(moments)
+    keep = np.argsort(-values)[:rank]
+    keep = keep[values[keep] > 1e-9 * max(1e-300, values.max(initial=0))]
+    return idf, (q @ turn[:, keep]).astype(np.float32), np.sqrt(values[keep])
+
+
+def _best(items: Items, k: int, seq: np.ndarray, reach: np.ndarray, need: float, least: float) -> int:
     """The common subsequence of item k and the first stretch seq[s : reach[s]] found to have ``need`` terms of it,
-    or one below ``need`` if there is none: the fullest stretch is tried first, then all from left to right. A start
-    adds no terms but those its stretch reaches further, so starts that can't make up for what lacks are skipped."""
+    or the best one below ``need`` that has ``least``: the fullest stretch is tried first, then all from left to right.
+    A start adds no terms but those its stretch reaches further, so starts that can't make up for what lacks are skipped."""
     held = reach - np.arange(len(reach))
     s = int(held.argmax())
     best = items.common(k, seq[s : reach[s]])
     s = 0
     while best < need and s < len(seq):
-        if held[s] < need:
-            s += 1
+        aim = need if best >= least else least
+        if held[s] < aim:
+            s += int(np.argmax(held[s:] >= aim)) or len(seq)
             continue
         got = items.common(k, seq[s : reach[s]])
         best = max(best, got)
-        s = max(s + 1, int(np.searchsorted(reach, reach[s] + math.ceil(need - got))))
+        aim = need if best >= least else least
+        s = max(s + 1, int(np.searchsorted(reach, reach[s] + math.ceil(aim - got))))
     return best
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               share: float = 0.4, cosine: float = 0.6, dims: int = 64) -> DataFrame:
-    """``id_col``, ``item_col`` and share (of the item's terms in order, in one stretch of twice the item).
-
-    Null and empty texts hold nothing; items with fewer than eight terms are left out; repeated rows
-    and copies each come out; an empty table gives an empty result. The items are the query set and
-    must fit one worker (their size is checked); documents are read where they are and never
-    shuffled, so no source or group of copies is hot.
-    """
-    spark = docs.sparkSession
-    wanted = items.where(F.col(text_col).isNotNull()).select(F.col(item_col), F.col(text_col).alias("t")).distinct()
-    total = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
-    if total > 20_000_000:
-        raise ValueError("split the evaluation items: they exceed 20 million characters")
-    got = sorted(map(tuple, wanted.collect()))
-    index = Items([r[0] for r in got], [r[1] for r in got])
-    sent = spark.sparkContext.broadcast(index)
-    df, g, n = sketch(docs, text_col, sent, dims)
-    idf, q = latent(df, g, n)
-    weighted = (q * idf[:, None]).astype(np.float32)
-    weighted[~index.latent[: len(weighted)]] = 0
-    queries = np.stack([weighted[np.unique(t)].sum(0) for _, t in index.passages]) if index.passages else np.zeros((0, dims), np.float32)
-    queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
-    owner = np.array([k for k, _ in index.passages], np.int64)
-    space = spark.sparkContext.broadcast((weighted, queries.astype(np.float32), owner))
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+def search(hits: DataFrame, sent, space, kind: str, item_kind: str, share: float, cosine: float, doubtful: float) -> DataFrame:
+    """d, k, share of the pairs the cosine search finds and the checks confirm."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it: Items = sent.value
         weights, qs, own = space.value
-        size, held_by = 2 * it.block, np.ascontiguousarray(it.member.T).astype(np.uint8)
-        for p in parts:
-            every = list(zip(p["d"], p["t"], strict=True))
-            for i, j in pieces([t for _, t in every]):
-                rows = [(d, t) for d, t in every[i:j] if t]
-                if not rows or not len(qs):
-                    continue
-                at, term, starts, ends = _hits([t for _, t in rows], it)
+        size, need_of, mine = 2 * it.block, np.array([len(t) for t in it.terms]), np.zeros(len(it.vocabulary), bool)
+        for whole in parts:
+            for d, x in zip(whole["d"], whole["term"], strict=True):
+                if len(x) and x[0] < 0:
+                    yield pd.DataFrame([(d, it.tiny[-1 - m][0], 1.0) for m in x.tolist()], columns=["d", "k", "share"])
+            for p in _batches(whole[whole["at"].map(len) > 0]):
+                at, term, starts, ends = _joined(p)
+                ids, texts = p["d"].tolist(), p["text"].tolist()
                 doc, a, z = windows(starts, ends, size, it.block)
-                held = np.searchsorted(at, z) - np.searchsorted(at, a)
-                inner = it.latent[term]
-                at_l, term_l = at[inner], term[inner]
-                lo, hi = np.searchsorted(at_l, a), np.searchsorted(at_l, z)
-                some = np.flatnonzero((held >= 20) & (hi > lo))  # of 240 characters; half an item holds far more
+                lo, hi = np.searchsorted(at, a), np.searchsorted(at, z)
+                some = np.flatnonzero(hi > lo)
                 pairs: set[tuple[int, int]] = set()
-                for s in range(0, len(some), 8192):
-                    pick = some[s : s + 8192]
+                for s in range(0, len(some), 4096):
+                    pick = some[s : s + 4096]
                     b0, b1 = int(lo[pick].min()), int(hi[pick].max())
-                    v = _sums(weights[term_l[b0:b1]], lo[pick] - b0, hi[pick] - b0)
+                    v = _sums(weights[term[b0:b1]], lo[pick] - b0, hi[pick] - b0)
                     v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
                     w, c = np.nonzero(v @ qs.T >= cosine)
                     pairs.update(zip(doc[pick[w]].tolist(), own[c].tolist(), strict=True))
-                out, spans = [], np.searchsorted(at, np.stack([starts, ends]))
-                need_of = share * np.array([len(t) for t in it.terms])
-                enough: tuple[int, np.ndarray] = (-1, need_of)
+                out, spans, of, read = [], np.searchsorted(at, np.stack([starts, ends])), -1, (-1, None)
                 for d, k in sorted(pairs):
                     x0, x1 = spans[:, d]
-                    if enough[0] != d:  # how many of the document's terms each item has
-                        enough = d, held_by[term[x0:x1]].sum(0, dtype=np.int64)
-                    need = need_of[k]
-                    if enough[1][k] < need:
+                    if of != d:
+                        of, held = d, it.held(np.unique(term[x0:x1]))
+                    need, n = share * need_of[k], int(need_of[k])
+                    if held[k] < (doubtful * n if texts[d] is not None else need):
                         continue
-                    inside = it.member[k][term[x0:x1]]
+                    mine[it.has(k)] = True
+                    inside = mine[term[x0:x1]]
+                    mine[it.has(k)] = False
                     pos, seq = at[x0:x1][inside], term[x0:x1][inside]
                     reach = np.searchsorted(pos, pos + 2 * it.size[k])
-                    best = _best(it, k, seq, reach, need)
+                    full = reach - np.arange(len(reach))
+                    least = need if texts[d] is None else doubtful * n
+                    best = _best(it, k, seq, reach, need, least) if full.max() >= least else 0
                     if best >= need:
-                        out.append((rows[d][0], it.ids[k], best / len(it.terms[k])))
+                        out.append((ids[d], it.ids[k], best / n))
+                    elif best >= doubtful * n:  # words in order, around each stretch that is as full as any near it
+                        if read[0] != d:
+                            read = d, words_of(texts[d], it.table)
+                        tops = np.flatnonzero(full >= doubtful * n)
+                        same, last = 0.0, -it.size[k]
+                        for s in tops[np.argsort(pos[tops])].tolist():
+                            first = int(pos[s] - starts[d])
+                            if first - last >= it.size[k] // 2:
+                                last = first
+                                same = max(same, *(it.reworded(k, read[1], max(0, first - back)) for back in (0, it.size[k] // 2)))
+                        if same:
+                            out.append((ids[d], it.ids[k], same))
                 if out:
                     yield pd.DataFrame(out, columns=["d", "k", "share"])
 
-    found = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).mapInPandas(run, f"d {kind}, k {item_kind}, share double")
-    return stored(found.select(F.col("d").alias(id_col), F.col("k").alias(item_col), "share"), scratch(spark, "leaks"))
+    return hits.mapInPandas(run, f"d {kind}, k {item_kind}, share double")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+               share: float = 0.4, cosine: float = 0.7, rank: int = 64, oversampling: int = 16, doubtful: float = 0.25,
+               block_chars: int = 1_000_000) -> DataFrame:
+    """``id_col``, ``item_col`` and share (of the item's terms in order, in one stretch of twice the item).
+
+    ``share`` of the terms stands for half of the letters: a changed character breaks several terms. Pairs with less
+    than that, but ``doubtful`` of the terms, are compared by words and answers.
+    Null and empty texts hold nothing; items without a letter are no items, items shorter than one term are found
+    where they stand whole; repeated rows and copies each come out; an empty table gives an empty result. Items are
+    taken in blocks of about ``block_chars`` characters, which bounds what is broadcast (terms x rank numbers);
+    documents are read where they are and never shuffled, so no source or group of copies is hot.
+    """
+    spark = docs.sparkSession
+    wanted = items.where(F.col(text_col).isNotNull()).select(F.col(item_col), F.col(text_col).alias("t")).distinct()
+    total = wanted.agg(F.sum(F.length("t"))).first()[0] or 0
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    variants, blocks, found = simplified(spark), max(1, math.ceil(total / block_chars)), []
+    for b in range(blocks):
+        got = sorted(map(tuple, (wanted.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == b) if blocks > 1 else wanted).collect()))
+        index = Items([r[0] for r in got], [r[1] for r in got], variants=variants)
+        if not index.ids and not index.tiny:
+            continue
+        sent = spark.sparkContext.broadcast(index)
+        hits = stored(item_hits(docs, id_col, text_col, sent, doubtful), scratch(spark, "hits"))
+        long = hits.where(F.size("at") > 0)
+        df, g, n = sketch(long, sent, rank + oversampling)
+        idf, vectors, _ = decompose(long, sent, df, g, n, rank)
+        weighted = vectors * idf[:, None]
+        queries = np.stack([weighted[np.unique(t)].sum(0) for _, t in index.passages]) if index.passages else np.zeros((0, weighted.shape[1]), np.float32)
+        queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
+        space = spark.sparkContext.broadcast((weighted, queries.astype(np.float32), np.array([k for k, _ in index.passages], np.int64)))
+        found.append(stored(search(hits, sent, space, kind, item_kind, share, cosine, doubtful), scratch(spark, "leaks")))
+    if not found:
+        return spark.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, share double")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(F.col("d").alias(id_col), F.col("k").alias(item_col), "share")

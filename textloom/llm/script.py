@@ -1,29 +1,17 @@
-"""Script rules for Han text that need no table of variants."""
+"""Script variants of Han characters, by the public Unicode transform that Spark's own ICU library carries."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from pyspark.sql import SparkSession
 
+_HAN = "".join(chr(c) for c in (*range(0x3400, 0x4DC0), *range(0x4E00, 0xA000)))
 
-def _in(ch: str, codec: str) -> bool:
-    try:
-        return len(ch.encode(codec)) == 2
-    except UnicodeEncodeError:
-        return False
 
+def simplified(spark: SparkSession) -> dict[int, int]:
+    """For each Han character that has one its simplified form, as code points (for ``str.translate``).
 
-@lru_cache(maxsize=1 << 16)
-def script_class(ch: str) -> str:
-    """``t`` a Han character written only traditionally (in Big5, not in GB 2312), ``s`` one written
-    only simplified, otherwise ``-``."""
-    if not "一" <= ch <= "鿿":
-        return "-"
-    g, b = _in(ch, "gb2312"), _in(ch, "big5")
-    return "t" if b and not g else "s" if g and not b else "-"
-
-
-@lru_cache(maxsize=1 << 16)
-def fold_variant(ch: str) -> str:
-    """Characters of which only one script variant has the form become one class, so that a text
-    and its conversion agree; others stay."""
-    return "〤" if script_class(ch) != "-" else ch
+    The table is made on the driver (some 3,000 pairs, a fixed size) and sent to the tasks. Several traditional
+    characters may have the same simplified one; no character is equated with an unrelated one.
+    """
+    to = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate(_HAN)
+    return {ord(a): ord(b) for a, b in zip(_HAN, to, strict=True) if a != b}
