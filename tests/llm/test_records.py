@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm.aliases import delete_hashes, map_names
-from textloom.llm.copies import collapse_copies
+from textloom.llm.copies import collapse_copies, flag_repeats
 from textloom.llm.leaks import Items, find_leaks, folded, grams
 from textloom.llm.scans import SPACE, find_traces, is_listing, mend
 from textloom.llm.script import simplified
@@ -20,6 +21,14 @@ GROUPS = [
 ]
 
 
+def test_singles_stay_behind_the_filters(spark):
+    df = spark.range(6000).select(F.col("id").alias("node_no"), F.concat(F.lit("n"), F.when(F.col("id") % 100 == 0, F.lit("hot")).otherwise(F.col("id").cast("string"))).alias("name"), F.lit("x").alias("entity_type"))
+    flagged = flag_repeats(df, "node_no", ("name", "entity_type"), max_log_bits=12)  # 15 slices of ten bits a key
+    assert flagged.count() == 6000 and flagged.where("again").count() < 6000 * 0.1
+    got = collapse_copies(df, max_log_bits=12)
+    assert got.where("copies = 1").count() == 5940 and {(r.keep_no, r.copies) for r in got.where("copies > 1").collect()} == {(0, 60)}
+
+
 @pytest.mark.parametrize("bits", [10, 20])
 def test_copies(spark, bits):
     data, group = [], {}

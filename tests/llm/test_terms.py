@@ -48,6 +48,22 @@ def test_ledger_counts_and_deltas(spark):
     assert step.counts().count() == 0
 
 
+def test_ledger_grows_and_forgets(spark):
+    data = rows(5)
+    df = spark.createDataFrame(data, SCHEMA)
+    led = TermLedger(spark, scratch(spark, "t"), buckets=2, bucket_rows=40)
+    led.apply(df, deleted=df.where("term_id >= 50").select("term_id"))  # what is deleted at once never counts
+    want, n = brute([x for x in data if x[0] < 50])
+    assert {r.term: (r.freq, r.files) for r in led.counts().collect()} == want and led.n_files() == n
+    for a in (50, 150, 250):
+        led.apply(df.where(f"term_id >= {a} and term_id < {a + 100}"))
+    assert led._manifest()[1] > 2  # written anew in more buckets
+    changed = [(60, "d99", "wholly new", 4, "z", 0)]
+    led.apply(spark.createDataFrame(changed, SCHEMA), deleted=df.where("term_id = 61").select("term_id"))
+    want, n = brute([(60, "d99", "wholly new", 4)] + [x for x in data if x[0] not in (60, 61)])
+    assert {r.term: (r.freq, r.files) for r in led.counts().collect()} == want and led.n_files() == n
+
+
 def test_empty_and_verdicts(spark):
     empty = spark.createDataFrame([], SCHEMA)
     led = TermLedger(spark, scratch(spark, "t"), buckets=2)

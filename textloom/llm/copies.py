@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import fold_width, scratch, stored
+from textloom.llm.common import fold_width, scratch
 
 DASHES = "‐‑‒–—―−﹣"
 # Marks between field=value entries; a slash only where another entry follows (not in m/s).
@@ -42,83 +45,106 @@ def copy_key(*cols: str) -> Column:
 def _bits(h: np.ndarray, log_bits: int, hashes: int) -> np.ndarray:
     a, b = h.astype(np.uint64), (h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     mask, shift = np.uint64((1 << log_bits) - 1), np.uint64(64 - log_bits)
-    return np.stack([((a * np.uint64(2 * i + 1) + np.uint64(i) * b) >> shift) & mask for i in range(hashes)])
+    return np.stack([((a * np.uint64(2 * i + 1) + np.uint64(i) * b) >> shift) & mask for i in range(hashes)]).astype(np.int64)
 
 
-def _add(once: np.ndarray, twice: np.ndarray, h: np.ndarray, log_bits: int, hashes: int) -> None:
-    u, n = np.unique(h, return_counts=True)
-    at = _bits(u, log_bits, hashes)
-    again = (n > 1) | once[at].all(0)
-    twice[at[:, again].ravel()] = True
-    once[at.ravel()] = True
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
 
-def repeat_filter(keys: DataFrame, key: str = "h", rows: int | None = None, max_log_bits: int = 26, hashes: int = 3) -> tuple[bytes, int]:
-    """Bloom filter of the 64-bit keys that may occur more than once, and its log2 of bits.
+def _all_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(0) if at.size else np.zeros(at.shape[-1], bool)
 
-    Each partition fills one filter of keys seen and one of keys seen again; two partitions merge
-    as (A1|A2, B1|B2|(A1&A2)), in two rounds, so no task reads more than the square root of the
-    partial filters. Ten bits a key, at most 2**max_log_bits bits (8 MB): that is all that
-    reaches the driver. A fuller filter lets more singles through, never loses a repeat.
+
+def repeat_filter(keys: DataFrame, log_bits: int, key: str = "h", hashes: int = 3, log_cell: int = 16) -> bytes:
+    """Bloom filter, of 2**log_bits bits, of the 64-bit keys that may occur more than once.
+
+    Each partition fills one filter of keys seen and one of keys seen again and hands them on in cells of 2**log_cell
+    bytes, only those with a bit set, compressed. The cells are shuffled by number and merged as they arrive in
+    order, (A1|A2, B1|B2|(A1&A2)), so no task holds more than two cells; what reaches the driver are the merged
+    cells, at most 2**log_bits bits. A fuller filter lets more singles through, never loses a repeat.
     """
-    rows = keys.count() if rows is None else rows
-    log_bits = int(min(max_log_bits, max(10, np.ceil(np.log2(max(1, 10 * rows))))))
+    log_cell = min(log_cell, log_bits - 3)
+    size, width = 1 << (log_bits - 3), 1 << log_cell
 
     def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once = twice = None
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for p in parts:
-            if len(p):
-                if once is None:
-                    once, twice = np.zeros(1 << log_bits, bool), np.zeros(1 << log_bits, bool)
-                _add(once, twice, p[key].to_numpy(np.int64), log_bits, hashes)
-        if once is not None:
-            yield pd.DataFrame({"g": [int(np.random.randint(1 << 30))], "a": [np.packbits(once).tobytes()], "b": [np.packbits(twice).tobytes()]})
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.frombuffer(p["a"].iloc[0], np.uint8).copy(), np.frombuffer(p["b"].iloc[0], np.uint8).copy()
-        for x, y in zip(p["a"].iloc[1:], p["b"].iloc[1:], strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-            b |= y | (a & x)
-            a |= x
-        return pd.DataFrame({"g": [0], "a": [a.tobytes()], "b": [b.tobytes()]})
-
-    schema = "g long, a binary, b binary"
-    spark = keys.sparkSession
-    partial = stored(keys.select(key).mapInPandas(fill, schema), scratch(spark, "bloom"))
-    n = partial.count()
-    if n == 0:
-        return np.packbits(np.zeros(1 << log_bits, bool)).tobytes(), log_bits
-    some = partial.withColumn("g", F.col("g") % max(1, int(n**0.5))).groupBy("g").applyInPandas(merge, schema)
-    last = some.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(merge, schema)
-    return bytes(last.select("b").first()[0]), log_bits
+            u, n = np.unique(p[key].to_numpy(np.int64), return_counts=True)
+            at = _bits(u, log_bits, hashes)
+            again = (n > 1) | _all_set(once, at)
+            _set(twice, at[:, again].ravel())
+            _set(once, at.ravel())
+        some = np.flatnonzero(once.reshape(-1, width).any(1))
+        for i in range(0, len(some), 64):
+            pick = some[i : i + 64].tolist()
+            pack = lambda f: [zlib.compress(f[c * width : (c + 1) * width].tobytes(), 1) for c in pick]  # noqa: E731, B023
+            yield pd.DataFrame({"cell": pick, "a": pack(once), "b": pack(twice)})
+
+    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, a, b = None, None, None
+        for p in parts:
+            for cell, x, y in zip(p["cell"], p["a"], p["b"], strict=True):
+                x, y = np.frombuffer(zlib.decompress(x), np.uint8), np.frombuffer(zlib.decompress(y), np.uint8)
+                if cell == now:
+                    b, a = b | y | (a & x), a | x
+                    continue
+                if now is not None and b.any():
+                    yield pd.DataFrame({"cell": [now], "b": [zlib.compress(b.tobytes(), 1)]})
+                now, a, b = cell, x, y
+        if now is not None and b.any():
+            yield pd.DataFrame({"cell": [now], "b": [zlib.compress(b.tobytes(), 1)]})
+
+    merged = (keys.select(key).mapInPandas(fill, "cell long, a binary, b binary").repartition("cell").sortWithinPartitions("cell")
+              .mapInPandas(merge, "cell long, b binary"))
+    out = np.zeros(size, np.uint8)
+    for r in merged.toLocalIterator():
+        out[r["cell"] * width : (r["cell"] + 1) * width] = np.frombuffer(zlib.decompress(r["b"]), np.uint8)
+    return out.tobytes()
 
 
 def collapse_copies(nodes: DataFrame, id_col: str = "node_no", cols: tuple[str, ...] = ("name", "entity_type"),
-                    max_log_bits: int = 26, hashes: int = 3) -> DataFrame:
+                    max_log_bits: int = 27, hashes: int = 3) -> DataFrame:
     """Every row's group: ``id_col``, keep_no (smallest id of the group), copies (rows of the group).
 
-    Keys the Bloom filter has seen once only are emitted as groups of one without a shuffle; the
-    possible repeats are shuffled as (key, id) and grouped exactly. A group's rows are never
-    gathered: size and smallest id are partial aggregates, and joined back by key with the hot
-    keys split by adaptive execution. Repeated rows of one id count once; rows whose columns are
-    null agree with each other only in being null in the same columns.
+    The hashes are cut into as many slices as keep the Bloom filter of each at ten bits a row and below
+    2**max_log_bits bits (16 MB, what is broadcast at a time), so the filter works alike for thousands and for
+    billions of rows: the rows are stored once by slice, and each slice gets its own filter. Keys a filter has seen
+    once only are emitted as groups of one without a shuffle; the possible repeats are shuffled as (key, id) and
+    grouped exactly. A group's rows are never gathered: size and smallest id are partial aggregates, and joined back
+    by key with the hot keys split by adaptive execution. Repeated rows of one id count once; rows whose columns
+    are null agree with each other only in being null in the same columns; an empty table gives an empty result.
     """
-    spark = nodes.sparkSession
-    keyed = nodes.select(F.col(id_col), copy_key(*cols).alias("key"))
-    keyed = stored(keyed.withColumn("h", F.xxhash64("key")), scratch(spark, "keys"))
-    bits, log_bits = repeat_filter(keyed, "h", keyed.count(), max_log_bits, hashes)
-    sent = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        f = np.frombuffer(sent.value, np.uint8)
-        at = _bits(h.to_numpy(np.int64), log_bits, hashes).astype(np.int64)
-        return pd.Series((f[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0))
-
-    flagged = stored(keyed.withColumn("again", maybe("h")), scratch(spark, "flagged"))
+    flagged = flag_repeats(nodes, id_col, cols, max_log_bits, hashes)
     single = flagged.where(~F.col("again")).select(id_col, F.col(id_col).alias("keep_no"), F.lit(1).cast("long").alias("copies"))
     rows = flagged.where("again").select("key", id_col).distinct()
     groups = rows.groupBy("key").agg(F.min(id_col).alias("keep_no"), F.count(F.lit(1)).alias("copies"))
     many = rows.join(groups.where("copies > 1"), "key").select(id_col, "keep_no", "copies")
     one = groups.where("copies = 1").select(F.col("keep_no").alias(id_col), "keep_no", "copies")
     return single.unionByName(many).unionByName(one)
+
+
+def flag_repeats(nodes: DataFrame, id_col: str, cols: tuple[str, ...], max_log_bits: int = 27, hashes: int = 3) -> DataFrame:
+    """id, key, again: whether some other row may have the row's key, told by the Bloom filter of its slice."""
+    spark = nodes.sparkSession
+    rows = nodes.count()
+    slices = max(1, math.ceil(10 * rows / (1 << max_log_bits)))
+    log_bits = int(min(max_log_bits, max(12, np.ceil(np.log2(max(1, 10 * rows / slices))))))
+    path, out = scratch(spark, "keys"), scratch(spark, "flagged")
+    keyed = nodes.select(F.col(id_col), copy_key(*cols).alias("key")).withColumn("h", F.xxhash64("key"))
+    schema = keyed.schema
+    keyed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(slices))).write.partitionBy("slice").parquet(path)
+    for i in range(slices) if rows else ():
+        try:
+            part = spark.read.schema(schema).parquet(f"{path}/slice={i}")
+        except AnalysisException:  # no key fell into the slice
+            continue
+        sent = spark.sparkContext.broadcast(repeat_filter(part, log_bits, "h", hashes))
+
+        @F.pandas_udf("boolean")
+        def maybe(h: pd.Series) -> pd.Series:
+            return pd.Series(_all_set(np.frombuffer(sent.value, np.uint8), _bits(h.to_numpy(np.int64), log_bits, hashes)))  # noqa: B023
+
+        part.select(id_col, "key", maybe("h").alias("again")).write.mode("append").parquet(out)
+        sent.destroy()
+    return spark.read.schema(schema.add("again", "boolean")).parquet(out).drop("h") if rows else spark.createDataFrame([], schema.add("again", "boolean"))

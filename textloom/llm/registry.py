@@ -18,9 +18,14 @@ from textloom.llm.tokens import encode
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Every term with its occurrences, files and verdict."""
+    """Every term with its occurrences, files and verdict: the rows arrive in two batches, the first half by time of
+    loading and then the later ones, with the records delivered again among them, as deltas."""
+    rows = table(spark, d, "terms_clean")
+    middle = rows.agg(F.percentile_approx(F.unix_micros(F.col("loaded_at").cast("timestamp")), 0.5).alias("m")).first()["m"]
+    late = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")) > F.lit(middle), F.lit(False))
     ledger = TermLedger(spark, scratch(spark, "ledger"))
-    ledger.apply(table(spark, d, "terms_clean"))
+    for batch in (rows.where(~late), rows.where(late)):
+        ledger.apply(batch)
     return ledger.verdicts()
 
 

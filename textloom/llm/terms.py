@@ -7,7 +7,7 @@ weighs the terms of each record against the rest of the collection.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,12 +40,13 @@ def term_rows(terms: DataFrame) -> DataFrame:
 class TermLedger:
     """Persistent counts of every distinct term, kept up by signed deltas.
 
-    Layout below ``path``: ``rows`` (the records as last counted), ``pairs`` (term and file) and
-    ``counts`` (term), each cut into ``buckets`` by a hash of its whole key (so the pairs of a term that
-    every file has spread evenly), one folder per version and bucket; ``manifest`` says which version of a bucket holds. ``apply`` aggregates only the
-    records that were added, changed or deleted, and writes only the buckets these touch; all
-    other buckets stay as they are. A version counts once its manifest is written, so a failed
-    apply changes nothing and can be repeated.
+    Layout below ``path``: ``rows`` (the records as last counted), ``pairs`` (term and file) and ``counts`` (term),
+    each cut into buckets by a hash of its whole key (so the pairs of a term that every file has spread evenly), one
+    folder per version and bucket; ``manifest`` says which version of a bucket holds. ``apply`` aggregates only the
+    records that were added, changed or deleted, merges the signed changes into the buckets they touch and writes
+    these; all other buckets stay as they are. The number of buckets follows the ledger's size: once one would hold
+    more than ``bucket_rows`` rows on average, the next apply writes all of it in four times as many. A version counts
+    once its manifest is written, so a failed apply changes nothing and can be repeated.
     """
 
     KEYS = {"rows": ["term_id"], "pairs": ["term", "doc_id"], "counts": ["term"]}
@@ -54,114 +55,95 @@ class TermLedger:
         "pairs": "term string, doc_id string, occ long, n_rows long",
         "counts": "term string, freq long, files long",
     }
+    MANIFEST = "kind string, bucket int, version int, filled boolean, buckets int, size long"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, bucket_rows: int = 1_000_000):
+        self.spark, self.path, self.first, self.bucket_rows = spark, path.rstrip("/"), buckets, bucket_rows
 
-    def _bucket(self, kind: str):
-        return F.pmod(F.xxhash64(*self.KEYS[kind]), F.lit(self.buckets)).cast("int")
+    def _bucket(self, kind: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*self.KEYS[kind]), F.lit(buckets)).cast("int")
 
-    def _live(self) -> dict[tuple[str, int], int]:
-        """(table, bucket) -> version; at most three times the number of buckets."""
+    def _manifest(self) -> tuple[int, int, int, dict[tuple[str, int], int]]:
+        """The last version, the number of buckets, the rows in the largest bucket and (table, bucket) -> version of the filled ones."""
         try:
-            m = self.spark.read.schema("kind string, bucket int, version int, filled boolean").parquet(f"{self.path}/manifest")
-            last = m.groupBy("kind", "bucket").agg(F.max(F.struct("version", "filled")).alias("v"))
-            return {(r.kind, r.bucket): (r.v.version if r.v.filled else -1, r.v.version) for r in last.collect()}
+            m = self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest")
+            last = m.groupBy("kind", "bucket").agg(F.max(F.struct("version", "filled", "buckets", "size")).alias("v")).collect()
         except AnalysisException:
-            return {}
-
-    def _read(self, kind: str, only: set[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/{kind}/v{v[0]}/bucket={b}" for (k, b), v in self._live().items()
-                 if k == kind and v[0] >= 0 and (only is None or b in only)]
+            last = []
+        if not last:
+            return -1, self.first, 0, {}
+        top = max(last, key=lambda r: r.v.version)
+        live = [r for r in last if r.v.buckets == top.v.buckets]
+        return top.v.version, top.v.buckets, max(r.v["size"] for r in live), {(r.kind, r.bucket): r.v.version for r in live if r.v.filled}
+
+    def _read(self, kind: str, live: dict[tuple[str, int], int], only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{kind}/v{v}/bucket={b}" for (k, b), v in live.items() if k == kind and (only is None or b in only)]
         if not paths:
             return self.spark.createDataFrame([], self.SCHEMAS[kind])
         return self.spark.read.schema(self.SCHEMAS[kind]).parquet(*paths)
 
     def apply(self, records: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-        """Count added and changed ``records`` (columns of terms_clean) and forget ``deleted`` (term_id)."""
-        live = self._live()
-        version = 1 + max((v[1] for v in live.values()), default=-1)
-        empty = not live
-        new = term_rows(records) if records is not None else self.spark.createDataFrame([], ROWS)
-        if empty:
-            signed = new.withColumn("sign", F.lit(1).cast("long"))
-            rows = new
-        else:
-            ids = new.select("term_id")
-            if records is not None:
-                ids = records.select("term_id").distinct()
-            if deleted is not None:
-                ids = ids.union(deleted.select(F.col("term_id").cast("long"))).distinct()
-            touched = {r.b for r in ids.select(self._bucket("rows").alias("b")).distinct().collect()}
-            before = self._read("rows", touched)
-            if deleted is not None:
-                new = new.join(deleted.select(F.col("term_id").cast("long")).distinct(), "term_id", "left_anti")
-            gone = before.join(ids, "term_id", "left_semi")
-            signed = gone.withColumn("sign", F.lit(-1).cast("long")).unionByName(new.withColumn("sign", F.lit(1).cast("long")))
-            rows = before.join(ids, "term_id", "left_anti").unionByName(new)
-        delta = (
-            signed.groupBy("term", "doc_id")
-            .agg(F.sum(F.col("sign") * F.col("freq")).alias("occ"), F.sum("sign").alias("n_rows"))
-        )
-        if empty:
-            self._write("pairs", delta, version, None)
-            pairs = self._read_version("pairs", version)
-            change = pairs.groupBy("term").agg(F.sum("occ").alias("freq"), F.count(F.lit(1)).alias("files"))
-            self._write("counts", change, version, None)
-            self._write("rows", rows, version, None)
-            self._commit(version, None)
-            return
-        delta = delta.where("occ <> 0 or n_rows <> 0")
-        delta.write.mode("overwrite").parquet(f"{self.path}/delta/v{version}")
-        delta = self.spark.read.schema(self.SCHEMAS["pairs"]).parquet(f"{self.path}/delta/v{version}")
-        touched_p, touched_c = ({r.b for r in delta.select(self._bucket(k).alias("b")).distinct().collect()} for k in ("pairs", "counts"))
-        old = self._read("pairs", touched_p)
+        """Count added and changed ``records`` (columns of terms_clean) and forget ``deleted`` (term_id); a record that is
+        both is forgotten. An empty ledger is no special case."""
+        version, buckets, largest, live = self._manifest()
+        version, grown = version + 1, buckets
+        while largest > self.bucket_rows:
+            grown, largest = 4 * grown, largest // 4
+        touched = lambda kind, df: None if grown != buckets else {r.b for r in df.select(self._bucket(kind, buckets).alias("b")).distinct().collect()}
+        ids = self.spark.createDataFrame([], "term_id long")
+        new = self.spark.createDataFrame([], ROWS)
+        if records is not None:
+            new, ids = term_rows(records), records.select(F.col("term_id").cast("long")).distinct()
+        if deleted is not None:
+            gone = deleted.select(F.col("term_id").cast("long")).distinct()
+            new, ids = new.join(gone, "term_id", "left_anti"), ids.union(gone).distinct()
+        touched_r = touched("rows", ids)
+        before = self._read("rows", live, touched_r)
+        signed = (before.join(ids, "term_id", "left_semi").withColumn("sign", F.lit(-1).cast("long"))
+                  .unionByName(new.withColumn("sign", F.lit(1).cast("long"))))
+        delta = signed.groupBy("term", "doc_id").agg(F.sum(F.col("sign") * F.col("freq")).alias("occ"), F.sum("sign").alias("n_rows")).where("occ <> 0 or n_rows <> 0")
+        delta = stored(delta, f"{self.path}/delta/v{version}")
+        touched_p, touched_c = touched("pairs", delta), touched("counts", delta)
+        zero = F.lit(0).cast("long")
         both = (
-            old.select("term", "doc_id", "occ", "n_rows", F.lit(0).cast("long").alias("o"), F.lit(0).cast("long").alias("r"))
-            .unionByName(delta.select("term", "doc_id", F.lit(0).cast("long").alias("occ"), F.lit(0).cast("long").alias("n_rows"),
-                                      F.col("occ").alias("o"), F.col("n_rows").alias("r")))
+            self._read("pairs", live, touched_p).select("term", "doc_id", "occ", "n_rows", zero.alias("o"), zero.alias("r"))
+            .unionByName(delta.select("term", "doc_id", zero.alias("occ"), zero.alias("n_rows"), F.col("occ").alias("o"), F.col("n_rows").alias("r")))
             .groupBy("term", "doc_id").agg(*[F.sum(c).alias(c) for c in ("occ", "n_rows", "o", "r")])
         )
-        self._write("pairs", both.select("term", "doc_id", (F.col("occ") + F.col("o")).alias("occ"),
-                                         (F.col("n_rows") + F.col("r")).alias("n_rows")).where("n_rows > 0"), version, touched_p)
         has = lambda c: (c > 0).cast("long")
-        change = (
-            both.where("o <> 0 or r <> 0")
-            .groupBy("term").agg(F.sum("o").alias("freq"),
-                                 F.sum(has(F.col("n_rows") + F.col("r")) - has(F.col("n_rows"))).alias("files"))
-        )
+        after = both.select("term", "doc_id", (F.col("occ") + F.col("o")).alias("occ"), (F.col("n_rows") + F.col("r")).alias("n_rows"),
+                            "o", (has(F.col("n_rows") + F.col("r")) - has(F.col("n_rows"))).alias("file"))
+        self._write("pairs", after.where("n_rows > 0").select("term", "doc_id", "occ", "n_rows"), version, grown)
+        change = after.where("o <> 0 or file <> 0").groupBy("term").agg(F.sum("o").alias("freq"), F.sum("file").alias("files"))
         merged = (
-            self._read("counts", touched_c).unionByName(change)
+            self._read("counts", live, touched_c).unionByName(change)
             .groupBy("term").agg(F.sum("freq").alias("freq"), F.sum("files").alias("files")).where("files > 0")
         )
-        self._write("counts", merged, version, touched_c)
-        self._write("rows", rows, version, touched)
-        self._commit(version, {"pairs": touched_p, "counts": touched_c, "rows": touched})
+        self._write("counts", merged, version, grown)
+        self._write("rows", before.join(ids, "term_id", "left_anti").unionByName(new), version, grown)
+        self._commit(version, grown, {"pairs": touched_p, "counts": touched_c, "rows": touched_r})
 
-    def _write(self, kind: str, df: DataFrame, version: int, touched) -> None:
-        b = self._bucket(kind)
-        (df.withColumn("bucket", b).repartition("bucket").write.mode("overwrite")
+    def _write(self, kind: str, df: DataFrame, version: int, buckets: int) -> None:
+        """Each bucket is written by one task, as large as ``bucket_rows`` at most."""
+        (df.withColumn("bucket", self._bucket(kind, buckets)).repartition("bucket").write.mode("overwrite")
          .partitionBy("bucket").parquet(f"{self.path}/{kind}/v{version}"))
 
-    def _read_version(self, kind: str, version: int) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMAS[kind] + ", bucket int").parquet(f"{self.path}/{kind}/v{version}").drop("bucket")
-
-    def _commit(self, version: int, touched: dict[str, set[int]] | None) -> None:
+    def _commit(self, version: int, buckets: int, touched: dict[str, set[int] | None]) -> None:
         out = []
         for kind in self.KEYS:
-            at = f"{self.path}/{kind}/v{version}"
-            filled = {r.bucket for r in self.spark.read.schema(self.SCHEMAS[kind] + ", bucket int").parquet(at).select("bucket").distinct().collect()}
-            for b in (range(self.buckets) if touched is None else touched[kind]):
-                out.append((kind, b, version, b in filled))
-        schema = "kind string, bucket int, version int, filled boolean"
-        self.spark.createDataFrame(out, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+            at = self.spark.read.schema(self.SCHEMAS[kind] + ", bucket int").parquet(f"{self.path}/{kind}/v{version}")
+            size = {r["bucket"]: r["count"] for r in at.groupBy("bucket").count().collect()}
+            for b in range(buckets) if touched[kind] is None else touched[kind] | set(size):
+                out.append((kind, b, version, b in size, buckets, size.get(b, 0)))
+        if out:
+            self.spark.createDataFrame(out, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def counts(self) -> DataFrame:
         """term, freq (summed), files (distinct doc_id)."""
-        return self._read("counts")
+        return self._read("counts", self._manifest()[3])
 
     def n_files(self) -> int:
-        return self._read("pairs").select("doc_id").distinct().count()
+        return self._read("pairs", self._manifest()[3]).select("doc_id").distinct().count()
 
     def verdicts(self, common_share: float = 0.1, rare_below: int = 3) -> DataFrame:
         """All counts with verdict ``common`` (in more than that share of files), ``rare`` (one file,
