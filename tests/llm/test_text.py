@@ -3,7 +3,7 @@ import pytest
 from textloom.llm.aliases import ReferenceIndex, edit_distance, map_names
 from textloom.llm.encodings import find_damage
 from textloom.llm.script import simplified
-from textloom.llm.sentences import split_offsets, split_sentences
+from textloom.llm.sentences import gap_words, learn_abbreviations, split_offsets, split_sentences
 from textloom.llm.spam import find_spam, shingles, strung
 
 CASES = [
@@ -29,6 +29,35 @@ def test_boundaries(text, want):
     assert split_offsets(text) == want
 
 
+def test_gaps_by_words(spark):
+    said = ["ปีกพับได้ทำงานตามปกติ", "โครงสร้างไม่มีรอยร้าว", "ทีมงานบันทึกผลไว้ครบถ้วน", "ระบบล็อกตอบสนองเร็วขึ้น", "ระบบล็อกทำงานตามปกติ", "โครงสร้างตอบสนองเร็วขึ้น", "ปีกพับได้ไม่มีรอยร้าว", "ทีมงานตอบสนองเร็วขึ้น"]
+    rows = [("a", i, " ".join(said[(i * k) % 8] for k in range(1, 2 + i % 3))) for i in range(60)]
+    inner = "ระบบ ล็อกทำงานตามปกติ"  # a gap inside a word that never closes a row, before one that never opens one
+    rows += [("b", 0, inner), ("b", 1, f"{said[0]} {said[1]}"), ("b", 2, inner + " " + said[1])]
+    df = spark.createDataFrame(rows, "doc_id string, sentence_id int, text string")
+    words = gap_words(df)
+    assert words.path("ระบบล็อกไม่มีรอยร้าว") == ("ระบบล็อก", "ไม่มีรอยร้าว")
+    got = {(r.doc_id, r.sentence_id): r.starts for r in split_sentences(df).collect()}
+    assert got["b", 0] == [0] and got["b", 1] == [0, len(said[0]) + 1] and got["b", 2] == [0, len(inner) + 1]
+    assert split_offsets(inner) == [0, 5]  # without the dictionary every gap is an end
+    assert all(len(v) == len(t.split()) for (d, i, t), v in ((r, got[r[0], r[1]]) for r in rows[:60]))
+
+
+def test_lattice_of_marks():
+    assert split_offsets("Ende. (Siehe unten. Und oben.) Neu.") == [0, 6, 31]
+    long = "Das ist ein Satz. " * 20000
+    assert len(split_offsets(long)) == 20000
+    assert len(split_offsets("What? no. " * 5000)) < 10001
+
+
+def test_learnt_abbreviations(spark):
+    df = spark.createDataFrame([(f"Die Masse betr. {i} kg. Dann folgt ung. drei. Schluss folgt. Neu.",) for i in range(20)], "text string")
+    known = learn_abbreviations(df)
+    assert known["betr"] > 2 and known["ung"] > 2 and "folgt" not in known and "kg" not in known
+    t = "Das betr. Teile ohne Last. Neu."
+    assert split_offsets(t, None, {}) == [0, 10, 27] and split_offsets(t, None, known) == [0, 27]
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([("a", 1, "A. b. C"), ("a", 2, None), ("a", 3, "  "), ("a", 4, "。" * 3), ("b", 1, "甲。" * 5000)], "doc_id string, sentence_id int, text string")
     got = {(r.doc_id, r.sentence_id): r.starts for r in split_sentences(df).collect()}
