@@ -19,8 +19,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom.llm.common import pieces, scratch, stored
 from textloom.llm.script import simplified
@@ -159,6 +161,16 @@ class Items:
     def table(self) -> np.ndarray:
         return _fold_table(self.variants)
 
+    def choose(self, count: np.ndarray, part: float) -> np.ndarray:
+        """The terms that span the latent space: of each passage's different terms that documents have at all the ``part`` that
+        the fewest have, so that a passage keeps coordinates however often it leaked."""
+        out = np.zeros(len(self.vocabulary), bool)
+        for _, t in self.passages:
+            u = np.unique(t)
+            u = u[count[u] > 0]
+            out[u[np.argsort(count[u], kind="stable")[: math.ceil(part * len(u))]]] = True
+        return out
+
     def _place(self, h: np.ndarray, t: int) -> np.ndarray:
         y = h.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F if t == 0 else 0x165667B19E3779F9)
         return (y >> np.uint64(64 - self.log_slots)).astype(np.int64)
@@ -178,10 +190,14 @@ class Items:
 
     def held(self, term: np.ndarray) -> np.ndarray:
         """How many places of each item have one of these (different) terms: no common subsequence is longer."""
-        n = self.owned[term + 1] - self.owned[term]
-        at = np.repeat(self.owned[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        _, at = self.posting(term)
         return np.bincount(self.owner[at], self.times[at], len(self.ids))
 
+    def posting(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many items have each term, and where these stand in the list of owners."""
+        n = self.owned[term + 1] - self.owned[term]
+        return n, np.repeat(self.owned[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
     def has(self, k: int) -> np.ndarray:
         """The numbers of item k's terms, in order."""
         if k not in self._own:
@@ -248,96 +264,103 @@ def _sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return total
 
 
-HITS = "at array<int>, term array<int>, text string"
+HITS, NAMES = "what string, at array<int>, term array<int>, text string", ["d", "what", "at", "term", "text"]
 
 
 def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float) -> DataFrame:
-    """d, at, term, text: each document's places (among its letters) at which a term of an item begins, of the
-    documents that have any. ``text`` goes with those that have ``doubtful`` of some item's different terms, for the
-    check of words. A tiny item that the document has whole is a row with term -1 - (its number) and no place."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """d, what, at, term, text. A row ``hits`` has a document's places (among its letters) at which a term of an item
+    begins, of the documents that have any; ``text`` goes with those that have terms of ``doubtful`` of some item's
+    places, for the check of words. A row ``tiny`` has the numbers of tiny items that stand in the document whole. A row
+    ``count``, one a task, has how many documents (at) have each term."""
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
-        most = np.array([len(t) for t in items.terms])
-        for p in parts:
-            every = p["t"].tolist()
+        n_terms, n_items = len(items.vocabulary), len(items.ids)
+        most, count = np.array([len(t) for t in items.terms]), np.zeros(n_terms, np.int64)
+        for batch in batches:
+            every = batch.column(1).to_pylist()
             for i, j in pieces(every):
-                rows = [n for n in range(i, j) if every[n]]
+                rows = np.array([n for n in range(i, j) if every[n]], np.int64)
                 f, starts = folded([every[n] for n in rows], items.table)
                 if not len(f):
                     continue
                 term = items.find(grams(f))
                 ends = np.concatenate([starts[1:] - 1, [len(f) - 1]])
                 at = np.flatnonzero(term >= 0)
-                lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
-                out = []
-                for n, a, z, s in zip(rows, lo, hi, starts, strict=True):
-                    if z > a:
-                        t = term[at[a:z]]
-                        carry = (items.held(np.unique(t)) >= doubtful * most).any()
-                        out.append((p["d"].iloc[n], (at[a:z] - s).astype(np.int32), t, every[n] if carry else None))
+                doc, term = np.searchsorted(starts, at, "right") - 1, term[at]
+                if len(at):
+                    pair = np.unique(doc * n_terms + term)  # each term once a document
+                    d, t = np.divmod(pair, n_terms)
+                    count += np.bincount(t, minlength=n_terms)
+                    n, place = items.posting(t)
+                    held = np.bincount(np.repeat(d, n) * n_items + items.owner[place], items.times[place], len(rows) * n_items).reshape(len(rows), n_items)
+                    carry = (held >= doubtful * most).any(1)
+                    some, first = np.unique(doc, return_index=True)
+                    lists = pa.array(np.append(first, len(at)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(rows[some])), pa.array(["hits"] * len(some)), pa.ListArray.from_arrays(lists, pa.array((at - starts[doc]).astype(np.int32))),
+                        pa.ListArray.from_arrays(lists, pa.array(term.astype(np.int32))), pa.array([every[rows[x]] if carry[x] else None for x in some.tolist()], pa.string())], NAMES)
                 if items.tiny:
-                    for n, a, z in zip(rows, starts, ends, strict=True):
+                    for n, a, z in zip(rows.tolist(), starts, ends, strict=True):
                         letters = f[a:z].astype("<u4").tobytes().decode("utf-32-le", "replace")
-                        found = [-1 - m for m, (_, w) in enumerate(items.tiny) if w in letters]
+                        found = [m for m, (_, w) in enumerate(items.tiny) if w in letters]
                         if found:
-                            out.append((p["d"].iloc[n], np.zeros(0, np.int32), np.array(found, np.int32), None))
-                if out:
-                    yield pd.DataFrame(out, columns=["d", "at", "term", "text"])
-
-    return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null").mapInPandas(run, f"d {kind}, {HITS}")
-
-
-def _joined(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places and terms of several documents one after the other, and where each begins and ends; documents lie a
-    whole passage apart."""
-    at, starts, ends, base = [], [], [], 0
-    for x in p["at"]:
-        n = int(x[-1]) + 1 if len(x) else 0
-        at.append(np.asarray(x, np.int64) + base)
-        starts.append(base)
-        ends.append(base + n)
-        base += n + 1
-    return np.concatenate(at), np.concatenate([np.asarray(x) for x in p["term"]]), np.array(starts), np.array(ends)
-
-
-def _batches(p: pd.DataFrame, hits: int = 400_000) -> Iterator[pd.DataFrame]:
-    size = p["term"].map(len).to_numpy()
-    if len(size):
-        for _, q in p.groupby(np.cumsum(size) // hits, sort=False):
-            yield q
-
-
-def sketch(hits: DataFrame, sent, dims: int, seed: int = 11, width: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
-    """Passages that hold each term, the summed sketch T'(T R) over all passages for a random matrix R, and
-    the number of passages. A task hands on the rows of the terms it has seen, in blocks of ``width`` terms; the
+                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array(["tiny"]), pa.array([[]], pa.list_(pa.int32())),
+                                                              pa.array([found], pa.list_(pa.int32())), pa.array([None], pa.string())], NAMES)
+        seen = np.flatnonzero(count).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array(["count"]), pa.array([count[seen].astype(np.int32)], pa.list_(pa.int32())),
+                                          pa.array([seen], pa.list_(pa.int32())), pa.array([None], pa.string())], NAMES)
+
+    return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, f"d {kind}, {HITS}")
+
+
+def _batches(parts: Iterator[pa.RecordBatch], hits: int = 400_000) -> Iterator[tuple]:
+    """Of runs of documents: the batch's rows a to z, places and terms of all one after the other, and where each
+    document begins and ends among the places. The last two columns are at and term."""
+    for p in parts:
+        at, term = p.column(p.num_columns - 2), p.column(p.num_columns - 1)
+        cut = at.offsets.to_numpy().astype(np.int64)
+        all_at, all_term, cut = at.values.to_numpy()[cut[0] : cut[-1]].astype(np.int64), term.values.to_numpy()[term.offsets[0].as_py() : term.offsets[-1].as_py()], cut - cut[0]
+        a = 0
+        while a < p.num_rows:
+            z = max(a + 1, int(np.searchsorted(cut, cut[a] + hits, "right")) - 1)
+            lo, hi = cut[a:z], cut[a + 1 : z + 1]
+            size = np.where(hi > lo, all_at[np.maximum(hi - 1, 0)] + 1, 0) if len(all_at) else np.zeros(z - a, np.int64)
+            starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+            yield p, a, z, all_at[cut[a] : cut[z]] + np.repeat(starts, hi - lo), all_term[cut[a] : cut[z]], starts, starts + size
+            a = z
+
+
+def sketch(hits: DataFrame, sent, spans: np.ndarray, dims: int, seed: int = 11, width: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+    """Passages that hold each term that ``spans`` the space, the summed sketch T'(T R) over all passages for a random
+    matrix R, and the number of passages. A task hands on the rows of the terms it has seen, in blocks of ``width`` terms; the
     blocks are shuffled by number and summed one by one as they arrive in order, so nothing is gathered."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         n_terms = len(items.vocabulary)
         r = np.random.default_rng(seed).standard_normal((n_terms, dims)).astype(np.float32)
         df, g, n = np.zeros(n_terms + width, np.int64), np.zeros((n_terms + width, dims), np.float32), 0
         size = 2 * items.block
-        for whole in parts:
-            for p in _batches(whole):
-                at, term, starts, ends = _joined(p)
-                _, a, z = windows(starts, ends, size, size)
-                n += len(a)
-                w = np.searchsorted(a, at, "right") - 1
-                key = np.unique(w.astype(np.int64) * n_terms + term)  # each term once a passage
-                w, term = key // n_terms, key % n_terms
-                lo = np.searchsorted(w, np.arange(len(a)))
-                y = _sums(r[term], lo, np.append(lo[1:], len(w)))
-                order = np.argsort(term, kind="stable")
-                t, first, count = np.unique(term[order], return_index=True, return_counts=True)
-                df[t] += count
-                g[t] += np.add.reduceat(y[w[order]], first, axis=0)
-        yield pd.DataFrame({"b": [-1], "df": [np.int64(n).tobytes()], "g": [b""]})
-        for b in np.unique(np.flatnonzero(df) // width).tolist():
-            cut = slice(b * width, (b + 1) * width)
-            yield pd.DataFrame({"b": [b], "df": [df[cut].tobytes()], "g": [g[cut].tobytes()]})
+        for _, _, _, at, term, starts, ends in _batches(parts):
+            _, a, z = windows(starts, ends, size, size)
+            n += len(a)
+            at, term = at[spans[term]], term[spans[term]]
+            w = np.searchsorted(a, at, "right") - 1
+            key = np.unique(w.astype(np.int64) * n_terms + term)  # each term once a passage
+            w, term = key // n_terms, key % n_terms
+            lo = np.searchsorted(w, np.arange(len(a)))
+            y = _sums(r[term], lo, np.append(lo[1:], len(w)))
+            order = np.argsort(term, kind="stable")
+            t, first, count = np.unique(term[order], return_index=True, return_counts=True)
+            df[t] += count
+            g[t] += np.add.reduceat(y[w[order]], first, axis=0)
+        some = [-1, *np.unique(np.flatnonzero(df) // width).tolist()]
+        for i in range(0, len(some), 32):
+            cuts = [(b, slice(b * width, (b + 1) * width)) for b in some[i : i + 32]]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in cuts], pa.int32()), pa.array([df[c].tobytes() if b >= 0 else np.int64(n).tobytes() for b, c in cuts], pa.binary()),
+                                              pa.array([g[c].tobytes() if b >= 0 else b"" for b, c in cuts], pa.binary())], ["b", "df", "g"])
 
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, d, g = None, None, None
@@ -356,7 +379,7 @@ def sketch(hits: DataFrame, sent, dims: int, seed: int = 11, width: int = 256) -
     schema = "b int, df binary, g binary"
     n_terms, n = len(sent.value.vocabulary), 0
     df, g = np.zeros(n_terms + width, np.int64), np.zeros((n_terms + width, dims), np.float32)
-    partial = hits.select("at", "term").mapInPandas(run, schema)
+    partial = hits.select("at", "term").mapInArrow(run, schema)
     for r in partial.repartition("b").sortWithinPartitions("b").mapInPandas(add, schema).collect():
         if r["b"] < 0:
             n = int(np.frombuffer(r["df"], np.int64)[0])
@@ -366,7 +389,7 @@ def sketch(hits: DataFrame, sent, dims: int, seed: int = 11, width: int = 256) -
     return df[:n_terms], g[:n_terms], n
 
 
-def decompose(hits: DataFrame, sent, df: np.ndarray, g: np.ndarray, n: int, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decompose(hits: DataFrame, sent, spans: np.ndarray, df: np.ndarray, g: np.ndarray, n: int, rank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term weights, the ``rank`` right singular vectors and the singular values of the TF-IDF passages.
 
     With X = T diag(idf), the range of X'X W for the random W = diag(1/idf) R is that of diag(idf) T'T R, the
@@ -377,25 +400,24 @@ def decompose(hits: DataFrame, sent, df: np.ndarray, g: np.ndarray, n: int, rank
     q, _ = np.linalg.qr((g * idf[:, None]).astype(np.float64))
     basis = hits.sparkSession.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         qs = basis.value
         size, n_terms = 2 * items.block, len(items.vocabulary)
         total = np.zeros((qs.shape[1],) * 2)
-        for whole in parts:
-            for p in _batches(whole):
-                at, term, starts, ends = _joined(p)
-                _, a, _ = windows(starts, ends, size, size)
-                w = np.searchsorted(a, at, "right") - 1
-                key = np.unique(w.astype(np.int64) * n_terms + term)
-                lo = np.searchsorted(key // n_terms, np.arange(len(a)))
-                y = _sums(qs[key % n_terms], lo, np.append(lo[1:], len(key))).astype(np.float64)
-                total += y.T @ y
+        for _, _, _, at, term, starts, ends in _batches(parts):
+            _, a, _ = windows(starts, ends, size, size)
+            at, term = at[spans[term]], term[spans[term]]
+            w = np.searchsorted(a, at, "right") - 1
+            key = np.unique(w.astype(np.int64) * n_terms + term)
+            lo = np.searchsorted(key // n_terms, np.arange(len(a)))
+            y = _sums(qs[key % n_terms], lo, np.append(lo[1:], len(key))).astype(np.float64)
+            total += y.T @ y
         i, j = np.divmod(np.arange(total.size), total.shape[1])
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total.ravel()})
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["i", "j", "v"])
 
     moments = np.zeros((q.shape[1],) * 2)
-    for r in hits.select("at", "term").mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+    for r in hits.select("at", "term").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         moments[r["i"], r["j"]] = r["v"]
     values, turn = np.linalg.eigh(moments)
     keep = np.argsort(-values)[:rank]
@@ -423,74 +445,81 @@ def _best(items: Items, k: int, seq: np.ndarray, reach: np.ndarray, need: float,
     return best
 
 
-def search(hits: DataFrame, sent, space, kind: str, item_kind: str, share: float, cosine: float, doubtful: float) -> DataFrame:
+def search(hits: DataFrame, sent, space, kind: str, item_kind: str, item_type, share: float, cosine: float, doubtful: float) -> DataFrame:
     """d, k, share of the pairs the cosine search finds and the checks confirm."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = sent.value
-        weights, qs, own = space.value
+        spans, weights, qs, own = space.value
         size, need_of, mine = 2 * it.block, np.array([len(t) for t in it.terms]), np.zeros(len(it.vocabulary), bool)
-        for whole in parts:
-            for d, x in zip(whole["d"], whole["term"], strict=True):
-                if len(x) and x[0] < 0:
-                    yield pd.DataFrame([(d, it.tiny[-1 - m][0], 1.0) for m in x.tolist()], columns=["d", "k", "share"])
-            for p in _batches(whole[whole["at"].map(len) > 0]):
-                at, term, starts, ends = _joined(p)
-                ids, texts = p["d"].tolist(), p["text"].tolist()
-                doc, a, z = windows(starts, ends, size, it.block)
-                lo, hi = np.searchsorted(at, a), np.searchsorted(at, z)
-                some = np.flatnonzero(hi > lo)
-                pairs: set[tuple[int, int]] = set()
-                for s in range(0, len(some), 4096):
-                    pick = some[s : s + 4096]
-                    b0, b1 = int(lo[pick].min()), int(hi[pick].max())
-                    v = _sums(weights[term[b0:b1]], lo[pick] - b0, hi[pick] - b0)
-                    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
-                    w, c = np.nonzero(v @ qs.T >= cosine)
-                    pairs.update(zip(doc[pick[w]].tolist(), own[c].tolist(), strict=True))
-                out, spans, of, read = [], np.searchsorted(at, np.stack([starts, ends])), -1, (-1, None)
-                for d, k in sorted(pairs):
-                    x0, x1 = spans[:, d]
-                    if of != d:
-                        of, held = d, it.held(np.unique(term[x0:x1]))
-                    need, n = share * need_of[k], int(need_of[k])
-                    if held[k] < (doubtful * n if texts[d] is not None else need):
-                        continue
-                    mine[it.has(k)] = True
-                    inside = mine[term[x0:x1]]
-                    mine[it.has(k)] = False
-                    pos, seq = at[x0:x1][inside], term[x0:x1][inside]
-                    reach = np.searchsorted(pos, pos + 2 * it.size[k])
-                    full = reach - np.arange(len(reach))
-                    least = need if texts[d] is None else doubtful * n
-                    best = _best(it, k, seq, reach, need, least) if full.max() >= least else 0
-                    if best >= need:
-                        out.append((ids[d], it.ids[k], best / n))
-                    elif best >= doubtful * n:  # words in order, around each stretch that is as full as any near it
-                        if read[0] != d:
-                            read = d, words_of(texts[d], it.table)
-                        tops = np.flatnonzero(full >= doubtful * n)
-                        same, last = 0.0, -it.size[k]
-                        for s in tops[np.argsort(pos[tops])].tolist():
-                            first = int(pos[s] - starts[d])
-                            if first - last >= it.size[k] // 2:
-                                last = first
-                                same = max(same, *(it.reworded(k, read[1], max(0, first - back)) for back in (0, it.size[k] // 2)))
-                        if same:
-                            out.append((ids[d], it.ids[k], same))
-                if out:
-                    yield pd.DataFrame(out, columns=["d", "k", "share"])
-
-    return hits.mapInPandas(run, f"d {kind}, k {item_kind}, share double")
+        for batch, row, _, at, term, starts, ends in _batches(parts):
+            ids, texts, found = batch.column(0), batch.column(2), []
+            doc, a, z = windows(starts, ends, size, it.block)
+            at_l, term_l = at[spans[term]], term[spans[term]]
+            lo, hi = np.searchsorted(at_l, a), np.searchsorted(at_l, z)
+            some = np.flatnonzero(hi > lo)
+            pairs: list[np.ndarray] = []
+            for s in range(0, len(some), 4096):
+                pick = some[s : s + 4096]
+                b0, b1 = int(lo[pick].min()), int(hi[pick].max())
+                v = _sums(weights[term_l[b0:b1]], lo[pick] - b0, hi[pick] - b0)
+                v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
+                w, c = np.nonzero(v @ qs.T >= cosine)
+                pairs.append(np.unique(doc[pick[w]].astype(np.int64) << 32 | own[c]))
+            bounds, of, read = np.searchsorted(at, np.stack([starts, ends])), -1, (-1, None)
+            for pair in np.unique(np.concatenate([np.zeros(0, np.int64), *pairs])).tolist():
+                d, k = pair >> 32, pair & 0xFFFFFFFF
+                x0, x1 = bounds[:, d]
+                if of != d:
+                    of, held, text = d, it.held(np.unique(term[x0:x1])), texts[row + d].as_py()
+                need, n = share * need_of[k], int(need_of[k])
+                least = need if text is None else doubtful * n
+                if held[k] < least:
+                    continue
+                mine[it.has(k)] = True
+                inside = mine[term[x0:x1]]
+                mine[it.has(k)] = False
+                pos, seq = at[x0:x1][inside], term[x0:x1][inside]
+                reach = np.searchsorted(pos, pos + 2 * it.size[k])
+                full = reach - np.arange(len(reach))
+                best = _best(it, k, seq, reach, need, least) if full.max() >= least else 0
+                if best >= need:
+                    found.append((row + d, k, best / n))
+                elif best >= doubtful * n:  # words in order, around each stretch that is as full as any near it
+                    if read[0] != d:
+                        read = d, words_of(text, it.table)
+                    tops = np.flatnonzero(full >= doubtful * n)
+                    same, last = 0.0, -it.size[k]
+                    for s in tops.tolist():
+                        first = int(pos[s] - starts[d])
+                        if first - last >= it.size[k] // 2:
+                            last = first
+                            same = max(same, *(it.reworded(k, read[1], max(0, first - back)) for back in (0, it.size[k] // 2)))
+                    if same:
+                        found.append((row + d, k, same))
+            if found:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([x[0] for x in found])), pa.array([it.ids[x[1]] for x in found], item_type), pa.array([float(x[2]) for x in found])], ["d", "k", "share"])
+
+    def tiny(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it: Items = sent.value
+        for p in parts:
+            lists = p.column(1).to_pylist()
+            rows, which = [i for i, x in enumerate(lists) for _ in x], [it.tiny[m][0] for x in lists for m in x]
+            yield pa.RecordBatch.from_arrays([p.column(0).take(pa.array(rows, pa.int64())), pa.array(which, item_type), pa.array([1.0] * len(rows))], ["d", "k", "share"])
+
+    schema = f"d {kind}, k {item_kind}, share double"
+    got = hits.where("what = 'hits'").select("d", "what", "text", "at", "term").mapInArrow(run, schema)
+    return got.unionByName(hits.where("what = 'tiny'").select("d", "term").mapInArrow(tiny, schema)) if sent.value.tiny else got
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               share: float = 0.4, cosine: float = 0.7, rank: int = 64, oversampling: int = 16, doubtful: float = 0.25,
+               share: float = 0.4, cosine: float = 0.5, rank: int = 64, oversampling: int = 16, part: float = 1 / 3, doubtful: float = 0.3,
                block_chars: int = 1_000_000) -> DataFrame:
     """``id_col``, ``item_col`` and share (of the item's terms in order, in one stretch of twice the item).
 
     ``share`` of the terms stands for half of the letters: a changed character breaks several terms. Pairs with less
-    than that, but ``doubtful`` of the terms, are compared by words and answers.
+    than that, but ``doubtful`` of the terms, are compared by words and answers. ``part`` of each passage's terms, the
+    rarest, span the latent space (of ``rank`` dimensions); the subsequences are of all terms.
     Null and empty texts hold nothing; items without a letter are no items, items shorter than one term are found
     where they stand whole; repeated rows and copies each come out; an empty table gives an empty result. Items are
     taken in blocks of about ``block_chars`` characters, which bounds what is broadcast (terms x rank numbers);
@@ -508,14 +537,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             continue
         sent = spark.sparkContext.broadcast(index)
         hits = stored(item_hits(docs, id_col, text_col, sent, doubtful), scratch(spark, "hits"))
-        long = hits.where(F.size("at") > 0)
-        df, g, n = sketch(long, sent, rank + oversampling)
-        idf, vectors, _ = decompose(long, sent, df, g, n, rank)
-        weighted = vectors * idf[:, None]
+        count = np.zeros(len(index.vocabulary), np.int64)
+        for r in hits.where("what = 'count'").select(F.explode(F.arrays_zip("term", "at")).alias("x")).groupBy("x.term").agg(F.sum("x.at").alias("n")).collect():
+            count[r["term"]] = r["n"]
+        spans, long = index.choose(count, part), hits.where("what = 'hits'")
+        df, g, n = sketch(long, sent, spans, rank + oversampling)
+        idf, vectors, _ = decompose(long, sent, spans, df, g, n, rank)
+        weighted = np.where(spans[:, None], vectors * idf[:, None], np.float32(0))
         queries = np.stack([weighted[np.unique(t)].sum(0) for _, t in index.passages]) if index.passages else np.zeros((0, weighted.shape[1]), np.float32)
         queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-9
-        space = spark.sparkContext.broadcast((weighted, queries.astype(np.float32), np.array([k for k, _ in index.passages], np.int64)))
-        found.append(stored(search(hits, sent, space, kind, item_kind, share, cosine, doubtful), scratch(spark, "leaks")))
+        space = spark.sparkContext.broadcast((spans, weighted, queries.astype(np.float32), np.array([k for k, _ in index.passages], np.int64)))
+        found.append(stored(search(hits, sent, space, kind, item_kind, to_arrow_type(items.schema[item_col].dataType), share, cosine, doubtful), scratch(spark, "leaks")))
     if not found:
         return spark.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, share double")
     every = found[0]
