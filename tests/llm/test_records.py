@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.aliases import delete_hashes, map_names
 from textloom.llm.copies import collapse_copies, flag_repeats
+from textloom.llm.encodings import find_damage
 from textloom.llm.leaks import Items, find_leaks, folded, grams
-from textloom.llm.scans import SPACE, find_traces, is_listing, mend
+from textloom.llm.scans import SPACE, find_traces, fit, is_listing, mend
 from textloom.llm.script import simplified
 from textloom.llm.tokens import VOCABULARY, Lexicon, encode, load_ranks, merge_word
 
@@ -181,6 +182,38 @@ def test_scans(spark):
     assert find_traces(df.limit(0)).count() == 0
 
 
+def scanned_table(spark, r):
+    names = ["控制律", "试验平台", "线束接口", "飞行器", "传感网络", "升阻特性"]
+    s = lambda i: f"在第{i}次飞行中，带有冗余的{r.choice(names)}使升力系数提高了{i}%，这一结论得到重现。经过标定的{r.choice(names)}不适合低空滑翔。"
+    rows = [("d", i, None, s(i), "标题") for i in range(300)] + [("e", i, 10 + i % 40, s(i), "标题") for i in range(200)]
+    clean = {("f", i): s(i) for i in range(60)}
+    bad = {k: (t[:18] + "\n" + t[18:] if k[1] % 3 == 0 else t[:9] + " ".join(t[9:24]) + t[24:] if k[1] % 3 == 1 else t.replace("力", "刀", 1)) for k, t in clean.items()}
+    rows += [(*k, 17, t, "标题") for k, t in bad.items()]
+    rows += [("g", i, 12, s(i).replace("力", "刀", 1), "标题") for i in range(40)]
+    return spark.createDataFrame(rows, "doc_id string, sentence_id int, page_no int, text string, title string"), clean
+
+
+def test_scans_are_the_taggers_decisions(spark):
+    df, clean = scanned_table(spark, random.Random(6))
+    got = {(x.doc_id, x.sentence_id): x.mended for x in find_traces(df).collect()}
+    found = [k for k in clean if k in got]
+    assert len(found) >= 0.95 * len(clean)
+    assert sum(got[k] == clean[k] for k in found) >= 0.9 * len(found)  # the text before it was spoiled
+    key, n, w, forms, taken = fit(df)
+    keep = np.zeros_like(w)
+    keep[:, 0] = 1
+    assert find_traces(df, model=(key, n, keep, forms, taken)).count() == 0
+
+
+def test_models_do_not_depend_on_partitions(spark):
+    df, _ = scanned_table(spark, random.Random(8))
+    seen = [sorted((x.doc_id, x.sentence_id, x.mended) for x in find_traces(df.repartition(n), check_damage=True).collect()) for n in (1, 8, 40)]
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+    bad = df.where("doc_id = 'd'").withColumn("text", F.when(F.col("sentence_id") % 50 == 3, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
+    seen = [sorted((x.sentence_id, x.repaired) for x in find_damage(bad.repartition(n)).where("damaged > 0.5").collect()) for n in (1, 8, 200)]
+    assert [i for i, _ in seen[0]] == list(range(3, 300, 50)) and seen[0] == seen[1] == seen[2]
+
+
 def test_mend():
     assert mend("ab-\ncd\nef", [(2, 4), (3, 4), (6, SPACE)]) == "abcd ef"
     assert is_listing("1) a\n2) b") and not is_listing("a\nb") and not is_listing("1) a")

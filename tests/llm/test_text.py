@@ -105,6 +105,17 @@ def test_damage(spark):
     assert find_damage(df.limit(0)).count() == 0
 
 
+def test_damage_in_a_small_table(spark):
+    r = __import__("random").Random(4)
+    words = "крыло привод датчик профиль нагрузка скорость угол поток шарнир обшивка модель стенд испытание показало предел запас режим".split()
+    rows = [("d", i, " ".join(r.choice(words) for _ in range(14)).capitalize() + ".") for i in range(200)]
+    bad = {17: ("koi8-r", "cp1251"), 90: ("cp1251", "koi8-r"), 150: ("cp1251", "cp1252")}
+    text = lambda i, t: t.encode(bad[i][0]).decode(bad[i][1]) if i in bad else t
+    df = spark.createDataFrame([(d, i, text(i, t)) for d, i, t in rows], "doc_id string, sentence_id int, text string")
+    got = {x.sentence_id: x.repaired for x in find_damage(df).where("damaged > 0.5").collect()}
+    assert got == {i: rows[i][2] for i in bad}
+
+
 LISTS = [
     "符号表\n" + "\n".join(f"{c}_{i}  攻角, m/s" for i, c in enumerate("ABCDEFGHJKLM")),
     "目录\n" + "\n".join(f"{i}.1 风洞吹风......{i}" for i in range(1, 20)),

@@ -75,10 +75,13 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def usual(counts: DataFrame, what: str, share: float = 2.0**-26) -> DataFrame:
+SHARE = 2.0**-23  # of all that is counted: what is rarer is as good as unseen, at every size
+
+
+def usual(counts: DataFrame, what: str, share: float = SHARE) -> DataFrame:
     """The rows of a table with counts ``n`` that occur more than once and make up ``share`` of all such at
-    least. ``n`` are sums over all tasks, so neither partitioning nor a size decides what is kept: the table
-    grows with the variety of the data."""
+    least. ``n`` are sums over all tasks, so partitioning doesn't decide what is kept, and no more than 1 / share
+    rows are, however large the collection (8 million of 16 bytes; natural text has far fewer)."""
     kept = stored(counts.where("n > 1"), scratch(counts.sparkSession, what))
     total = kept.agg(F.sum("n")).first()[0] or 0
     return kept.where(F.col("n") >= share * total)

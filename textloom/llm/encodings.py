@@ -17,10 +17,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pieces, scratch, stored, usual
+from textloom.llm.common import SHARE, pieces, scratch, stored, usual
 
 SEP = "\x1e"
 # Texts in UTF-8 read with one byte, or with up to two bytes, a character.
@@ -135,7 +135,8 @@ class PairModel:
         log_slots = max(log_slots, (4 * len(pair)).bit_length())
         self.shift = np.uint64(64 - log_slots)
         self.total = float(max(1, n.sum()))
-        self.floor = np.float32(np.log(0.3 / self.total))
+        self.floor = np.float32(np.log(max(0.3 / self.total, 0.5 * SHARE)))
+        self.rare = max(-13.0, float(self.floor) + 1.5)  # in a small collection only what it has once, or never
         self.score = np.full(1 << log_slots, self.floor, np.float32)
         self.tag = np.zeros(1 << log_slots, np.uint16)
         order = np.argsort(n, kind="stable")  # of two pairs in one slot the usual one stays
@@ -195,10 +196,10 @@ def _matches(raw: np.ndarray, pattern: re.Pattern, wide: bool) -> list[re.Match]
     return out
 
 
-def find_stretches(texts: list[str], model: PairModel, least: float = 4.0, rare: float = -13.0) -> list[tuple[int, int, int, str, str, float]]:
+def find_stretches(texts: list[str], model: PairModel, least: float = 4.0) -> list[tuple[int, int, int, str, str, float]]:
     """(row, start, end, chain, what it was, gain) of every stretch that some chain explains better by
-    at least ``least`` nats. ``rare``: the log share under which a pair marks a row for the
-    one-to-one chains. What a lost character stood for is unknown, so its stretch stays as it is."""
+    at least ``least`` nats. Pairs below the model's ``rare`` mark a row for the one-to-one chains. What a lost
+    character stood for is unknown, so its stretch stays as it is."""
     whole = SEP.join(t.replace(SEP, " ") for t in texts)
     c = codes(whole)
     if not len(c):
@@ -226,7 +227,7 @@ def find_stretches(texts: list[str], model: PairModel, least: float = 4.0, rare:
             if e - s >= 8:
                 covered[s:e] = True
     s0 = model.of(c)
-    odd = (s0 < rare) & (high[:-1] | high[1:])
+    odd = (s0 < model.rare) & (high[:-1] | high[1:])
     odd_before = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
     for w in TWO_BYTE:
         text = whole.encode(w, "replace")
@@ -344,7 +345,7 @@ EVIDENCE = "chains array<struct<chain:string,llr:double>>, repaired string"
 
 
 def _evidence(rows: DataFrame, keys: list[str], sent, only_found: bool = True) -> DataFrame:
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", text string, " + EVIDENCE
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", text string, field string, " + EVIDENCE
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = PairModel(*sent.value)
@@ -368,18 +369,18 @@ def _evidence(rows: DataFrame, keys: list[str], sent, only_found: bool = True) -
                     fixed.append(undo(texts[r], by[r]))
                 yield out.assign(chains=chains, repaired=fixed)
 
-    return rows.select(*keys, "text").mapInPandas(run, schema)
+    return rows.select(*keys, "text", "field").mapInPandas(run, schema)
 
 
-def _posterior(evidence: DataFrame, sizes: DataFrame, keys: list[str], source: str, n_rows: int, rounds: int, strength: float) -> DataFrame:
+def _posterior(evidence: DataFrame, sizes: DataFrame, keys: list[str], source: str, n_rows: dict[str, int], rounds: int, strength: float) -> DataFrame:
     """Expectation-maximization over chain shares; adds ``damaged`` (posterior) and ``chain`` (the likeliest).
 
-    A round's expected counts per source and chain are a stored table; the shares of the whole field are
-    one number a chain and come to the driver.
+    A round's expected counts per source, field and chain are a stored table; the shares of each whole field (its
+    pool) are one number a chain and come to the driver.
     """
     spark = evidence.sparkSession
     llr = F.least(F.col("x.llr"), F.lit(300.0))
-    long = evidence.select(*keys, F.explode("chains").alias("x")).select(*keys, "x.chain", llr.alias("llr"))
+    long = evidence.select(*keys, "field", F.explode("chains").alias("x")).select(*keys, "field", "x.chain", llr.alias("llr"))
     w = Window.partitionBy(*keys)
 
     def scored(prior) -> DataFrame:
@@ -388,40 +389,41 @@ def _posterior(evidence: DataFrame, sizes: DataFrame, keys: list[str], source: s
 
     got = scored(long.withColumn("prior", F.lit(0.001)))
     for _ in range(rounds - 1):
-        sums = stored(got.groupBy(source, "chain").agg(F.sum("p").alias("s")), scratch(spark, "shares"))
-        pool = {r["chain"]: r["s"] / max(1, n_rows) for r in sums.groupBy("chain").agg(F.sum("s").alias("s")).collect()}
+        sums = stored(got.groupBy(source, "field", "chain").agg(F.sum("p").alias("s")), scratch(spark, "shares"))
+        pool = {f"{r['field']}/{r['chain']}": r["s"] / max(1, n_rows.get(r["field"], 0)) for r in sums.groupBy("field", "chain").agg(F.sum("s").alias("s")).collect()}
         if not pool:
             break
-        share = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(pool.items()) for x in kv])[F.col("chain")], F.lit(1e-6))
-        local = sums.join(sizes, source).select(source, "chain", ((F.col("s") + strength * share) / (F.col("n_source") + strength)).alias("local"))
-        got = scored(long.join(local, [source, "chain"], "left").withColumn("prior", F.coalesce("local", share)))
+        share = F.coalesce(F.create_map(*[F.lit(x) for kv in sorted(pool.items()) for x in kv])[F.concat_ws("/", "field", "chain")], F.lit(1e-6))
+        local = sums.join(sizes, [source, "field"]).select(source, "field", "chain", ((F.col("s") + strength * share) / (F.col("n_source") + strength)).alias("local"))
+        got = scored(long.join(local, [source, "field", "chain"], "left").withColumn("prior", F.coalesce("local", share)))
     return got.groupBy(*keys).agg(F.sum("p").alias("damaged"), F.max_by("chain", "p").alias("chain"))
 
 
 def find_damage(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "sentence_id"), source: str = "doc_id", text_col: str = "text",
-                rounds: int = 3, strength: float = 50.0, background: DataFrame | None = None) -> DataFrame:
+                rounds: int = 3, strength: float = 50.0, background: DataFrame | None = None, field: Column | None = None) -> DataFrame:
     """Rows whose text some chain explains: the keys, text, repaired, chain and the posterior ``damaged``.
 
     Rows without any such stretch are left out (their posterior is below 1/1000). Null texts are no
     cases, repeated rows count once, an empty table gives an empty result, long texts are read
     whole. ``chain`` is "lost" where replacement marks show that characters are gone; these stay.
-    The pair model (the pairs of a least share of all, 16 bytes each) is fitted on all texts; after a first round the
+    The pair model (the pairs of a least share of all, so at most 8 million of 16 bytes) is fitted on all texts; after a first round the
     pairs of damaged rows are taken out of it by their posterior, and the rows with evidence
     are weighed again. ``rounds`` of expectation-maximization learn the chains of each source
     with ``strength`` rows' worth of the whole field's shares. ``background``: texts of the same kind
-    to fit the pair model on, where ``df`` is a selection of suspects.
+    to fit the pair model on, where ``df`` is a selection of suspects. ``field``: a string column that parts the rows into
+    fields with shares of their own (few values); one field if not given.
     """
     spark = df.sparkSession
     keys = list(keys)
-    rows = df.select(*keys, F.col(text_col).alias("text")).where("text is not null")
+    rows = df.select(*keys, F.col(text_col).alias("text"), (F.lit("") if field is None else F.coalesce(field, F.lit(""))).alias("field")).where("text is not null")
     known = usual(pair_counts(rows if background is None else background.select(F.col(text_col).alias("text"))), "pairs")
     counts = known.toArrow()
     pair, n = counts["pair"].to_numpy(), counts["n"].to_numpy()
     sent = spark.sparkContext.broadcast((pair, n))
     first = stored(_evidence(rows, keys, sent), scratch(spark, "evidence")).dropDuplicates(keys)
-    sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n_source"))
+    sizes = rows.groupBy(source, "field").agg(F.count(F.lit(1)).alias("n_source"))
     sizes = stored(sizes, scratch(spark, "sources"))
-    n_rows = int(sizes.agg(F.sum("n_source")).first()[0] or 0)
+    n_rows = {r["field"]: r["n"] for r in sizes.groupBy("field").agg(F.sum("n_source").alias("n")).collect()}
     post = _posterior(first, sizes, keys, source, n_rows, rounds, strength)
     bad = stored(first.join(post, keys), scratch(spark, "first-round"))
     gone = pair_counts(bad.where("damaged > 0.5").select("text")).join(known.select("pair"), "pair", "left_semi").toArrow()
@@ -432,8 +434,8 @@ def find_damage(df: DataFrame, keys: tuple[str, ...] = ("doc_id", "sentence_id")
     left[at[same]] = np.maximum(0, left[at[same]] - gone["n"].to_numpy()[same])
     sent = spark.sparkContext.broadcast((pair[left > 0], left[left > 0]))
     sure = F.exists("chains", lambda x: x["llr"] >= 60.0)  # beyond what the model's second state can change
-    columns = [*keys, "text", "chains", "repaired"]
+    columns = [*keys, "text", "field", "chains", "repaired"]
     weighed = bad.where(sure).select(*columns).unionByName(_evidence(bad.where(~sure), keys, sent).select(*columns))
     again = stored(weighed, scratch(spark, "evidence"))
     post = _posterior(again, sizes, keys, source, n_rows, rounds, strength)
-    return again.drop("chains").join(post, keys)
+    return again.drop("chains", "field").join(post, keys)

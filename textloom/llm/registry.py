@@ -33,13 +33,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_counts(spark, d).where("verdict <> 'kept'").select("term", "verdict")
 
 
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    field = F.when(F.col("page_no").isNull(), "digital").otherwise("page")
+    return find_damage(table(spark, d, "all_sentences", spread=True), field=field)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_damage(table(spark, d, "all_sentences", spread=True)).where("damaged > 0.5").select("doc_id", "sentence_id")
+    return _p2(spark, d).where("damaged > 0.5").select("doc_id", "sentence_id")
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The damaged rows with the text that was brought back; ``lost`` where some of it is gone."""
-    return find_damage(table(spark, d, "all_sentences", spread=True)).where("damaged > 0.5").select(
+    return _p2(spark, d).where("damaged > 0.5").select(
         "doc_id", "sentence_id", "chain", F.col("repaired").contains("�").alias("lost"), "repaired")
 
 
