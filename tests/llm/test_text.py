@@ -131,6 +131,8 @@ SPAM = [
     " ".join(f'<a href="http://h{i}.test/{i}">load model</a>' for i in range(9)),
     " ".join(f"【地面样机{i}】 ¥{i}99 #控制律{i} tag:飞行器{i}" for i in range(9)),
     " | ".join(f"Q-{i}81C spar frame supplier" for i in range(12)),
+    "。".join(f"想买折叠翼控制律？折叠翼控制律{k}、折叠翼控制律{k}，{c}折叠翼控制律{k}" for c in ("石桥", "云泽") for k in ("报价", "批发", "最新", "价格")) + "。",
+    " ".join(f"Our folding wing control law {k} is the folding wing control law {k} in {c}." for c in ("Norhaven", "Eastmoor") for k in ("price", "buy", "best")),
 ]
 
 
@@ -146,8 +148,10 @@ def test_strung():
 def test_spam_pages(spark):
     texts = LISTS + SPAM + [None, "", "  "]
     df = spark.createDataFrame([(i, t, f"h{i % 4}" if i % 5 else None, i) for i, t in enumerate(texts)], "doc_id long, text string, source string, density int")
-    assert {r.doc_id for r in find_spam(df, log_bits=16).collect()} == set(range(len(LISTS), len(LISTS) + len(SPAM)))
-    assert find_spam(df.limit(0), log_bits=16).count() == 0
+    assert {r.doc_id for r in find_spam(df).collect()} == set(range(len(LISTS), len(LISTS) + len(SPAM)))
+    assert find_spam(df.limit(0)).count() == 0
+    both = [{(r.doc_id, r.stitched) for r in find_spam(df, max_log_bits=b).collect()} for b in (28, 5)]  # with the filter and without
+    assert both[0] == both[1]
 
 
 def test_shingles():

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +90,59 @@ def usual(counts: DataFrame, what: str, share: float = SHARE) -> DataFrame:
     return kept.where(F.col("n") >= share * total)
 
 
+def bloom_bits(h: np.ndarray, log_bits: int) -> np.ndarray:
+    """Three places of each 64-bit hash in a filter of 2**log_bits bits."""
+    u, s = h.view(np.uint64), np.uint64(64 - log_bits)
+    return np.stack([(u >> s), (u * np.uint64(0x9E3779B97F4A7C15)) >> s, (u * np.uint64(0xC2B2AE3D27D4EB4F)) >> s]).astype(np.int64)
+
+
+def key_filter(keys: DataFrame, log_bits: int, log_cell: int = 16) -> np.ndarray:
+    """Bloom filter, of 2**log_bits bits, of the hashes in a column ``h`` ARRAY<BIGINT>.
+
+    Each partition hands on the cells of its filter (2**log_cell bytes) that have a bit set, compressed; these are
+    shuffled by number and united as they arrive in order, so no task holds more than a filter and two cells."""
+    log_cell = min(log_cell, log_bits - 3)
+    size, width = 1 << (log_bits - 3), 1 << log_cell
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            at = bloom_bits(np.unique(b.column(0).flatten().to_numpy()), log_bits).ravel()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        some = np.flatnonzero(bits.reshape(-1, width).any(1))
+        for i in range(0, len(some), 64):
+            pick = some[i : i + 64].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(pick, pa.int64()), pa.array([zlib.compress(bits[c * width : (c + 1) * width].tobytes(), 1) for c in pick], pa.binary())], ["cell", "b"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda c, b: pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(b.tobytes(), 1)], pa.binary())], ["cell", "b"])
+        now, bits = None, None
+        for batch in batches:
+            for cell, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = np.frombuffer(zlib.decompress(b), np.uint8)
+                if cell == now:
+                    bits = bits | b
+                    continue
+                if now is not None:
+                    yield give(now, bits)
+                now, bits = cell, b
+        if now is not None:
+            yield give(now, bits)
+
+    out = np.zeros(size, np.uint8)
+    for r in keys.select("h").mapInArrow(fill, "cell long, b binary").repartition("cell").sortWithinPartitions("cell").mapInArrow(unite, "cell long, b binary").toLocalIterator():
+        out[r["cell"] * width : (r["cell"] + 1) * width] = np.frombuffer(zlib.decompress(r["b"]), np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, h: np.ndarray, log_bits: int) -> np.ndarray:
+    """Which of the hashes the filter may hold."""
+    hit = np.ones(len(h), bool)
+    for at in bloom_bits(h, log_bits):
+        hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
 def pieces(texts: list, rows: int = 512, chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts, of so many rows or characters at most (a longer text is a run of its own)."""
     a = total = 0

@@ -2,13 +2,14 @@
 
 Two kinds of evidence are joined. List density: each line of a page is prose, a list that papers
 have (contents, references, glossary, symbols, values, keywords), or strung phrases, links and
-tags. Replication: five-word shingles of the strung part are exploded, the distinct hosts
+tags, or phrases that say themselves again within a few lines. Replication: five-word shingles of the strung part are exploded, the distinct hosts
 that have each of them anywhere in their pages are counted, and a page is stitched if many of
 its shingles stand on other hosts too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import pieces, scratch, stored
+from textloom.llm.common import key_filter, may_hold, pieces, scratch, stored
 
 _URL = re.compile(r"(?:https?://|www\.)[!#-&*-;=?-Z\\^-~]+|(?<![\w.-])[a-z0-9-]{2,40}(?:\.[a-z0-9-]{1,40}){0,3}\.[a-z]{2,10}/[!#-&*-;=?-Z\\^-~]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]{0,300}>[^<]{0,300}</a>|\[[^\]\n]{1,80}\]\([^)\n]{4,120}\)", re.I)
@@ -31,6 +32,7 @@ _VALUES = re.compile(r"\t\s*[-+]?\d")
 _GLOSS = re.compile(r"^\s*[^,，]{2,80}?(?:\s{2,}|[:：]\s+|\t)[^|#]{2,}$|^\s*[^,，:：]{2,80}, (?:see|cf\.|vgl\.|siehe|voir|v\.) .{2,}$")
 _HEAD = re.compile(r"^\s*(?:关键词|关键字|キーワード|key ?words?|index terms|mots[- ]cl[ée]s|schlagw[oö]rter|schlüsselwörter|ключевые слова)\s*[:：]", re.I)
 _CODE = re.compile(r"(?<!\w)[A-Z]{1,4}-?\d{2,6}[A-Z]?(?!\w)")
+_LINE = re.compile(r"[^\r\n]+")
 _CHUNK = re.compile(r"[,，、|/;；\n\t]+| {2,}|　+")
 
 
@@ -105,14 +107,17 @@ def _paper_list(lines: list[str]) -> set[int]:
     return out
 
 
-def strung(text: str) -> tuple[list[str], int, int]:
+def strung(text: str, echoing: set[int] | None = None) -> tuple[list[str], int, int]:
     """The strung lines of a page, their characters without white space, and all of the page's.
 
-    A line is strung if links or tags make up most of it, or if it is one of many short phrases
-    (in a row of lines or between separators) that are neither sentences nor a paper's list.
+    A line is strung if links or tags make up most of it, if it says itself again (its number is in ``echoing``, see
+    ``echoes``), or if it is one of many short phrases (in a row of lines or between separators) that are neither
+    sentences nor a paper's list.
     """
+    if echoing is None:
+        echoing = echoes([text])[0]
     bare = lambda s: sum(map(len, s.split()))
-    lines = [s for s in re.split(r"[\r\n]+", text) if s.strip()]
+    lines = [s for s in _LINE.findall(text) if s.strip()]
     total = sum(map(bare, lines))
     listed = _paper_list(lines)
     found, short, size = [], [], 0
@@ -130,7 +135,7 @@ def strung(text: str) -> tuple[list[str], int, int]:
 
     for i, s in enumerate(lines):
         linked, marked = _links(s), _marks(s)
-        if linked + marked >= 0.4 * len(s) or linked and marked and len(_TAG.findall(s)) + len(_URL.findall(s)) >= 8 or _echoes(s):
+        if linked + marked >= 0.4 * len(s) or linked and marked and len(_TAG.findall(s)) + len(_URL.findall(s)) >= 8 or i in echoing and i not in listed:
             found.append(s)
             size += bare(s)
             continue
@@ -160,18 +165,6 @@ def strung(text: str) -> tuple[list[str], int, int]:
     return found, size, total
 
 
-def _echoes(s: str) -> bool:
-    """Short phrases that say each other again: in most pieces of 200 characters few runs of five are new."""
-    if len(s) < 60 or (s.count("，") + s.count(",") + s.count("、")) * 24 < len(s):
-        return False
-    poor = pieces = 0
-    for a in range(0, len(s) - 40, 200):
-        t = s[a : a + 200]
-        pieces += 1
-        poor += len({t[i : i + 5] for i in range(len(t) - 4)}) < 0.7 * (len(t) - 4)
-    return 2 * poor > pieces
-
-
 def _repeats(s: str) -> bool:
     """Some stretch of the line, of six letters at least, stands in it four times or more."""
     words = re.findall(r"[^\W_]{2,}", s)
@@ -180,9 +173,9 @@ def _repeats(s: str) -> bool:
     return False
 
 
-def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of every run of ``size`` words; a word is a Han or kana character or a run of other
-    letters; every number is the same word."""
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, first character (in all texts joined) and kind of every word: a Han or kana character (3), a
+    number (2, every number is the same word) or a run of other letters (1)."""
     whole = "\x1e".join(t.replace("\x1e", " ").lower() for t in texts) + "\x1e"
     c = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     han = (c >= 0x3005) & (c <= 0x9FFF)
@@ -192,46 +185,77 @@ def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     new = (kind > 0) & ((kind == 3) | np.concatenate([[True], kind[1:] != kind[:-1]]))
     at = np.flatnonzero(new)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), at, kind[at]
     x = np.where(kind == 2, 0x30, c).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x[(kind == 2) & ~new] = 0
     x ^= x >> np.uint64(33)
-    pos = np.arange(len(c), dtype=np.uint64) - np.repeat(at, np.diff(np.append(at, len(c)))).astype(np.uint64) if at[0] == 0 else None
-    if pos is None:
-        pos = np.zeros(len(c), np.uint64)
-        pos[at[0]:] = np.arange(at[0], len(c), dtype=np.uint64) - np.repeat(at, np.diff(np.append(at, len(c)))).astype(np.uint64)
+    pos = np.zeros(len(c), np.uint64)
+    pos[at[0]:] = np.arange(at[0], len(c), dtype=np.uint64) - np.repeat(at, np.diff(np.append(at, len(c)))).astype(np.uint64)
     y = np.where(kind > 0, (x + pos) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
     y ^= y >> np.uint64(31)
-    word = np.add.reduceat(y, at)
-    doc = np.searchsorted(np.flatnonzero(c == 0x1E), at)
-    n = len(at) - size + 1
+    return np.searchsorted(np.flatnonzero(c == 0x1E), at), np.add.reduceat(y, at), at, kind[at]
+
+
+def _runs(doc: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the ``size`` words from each word on, and whether they all are of its text."""
+    n = len(word) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     h = np.zeros(n, np.uint64)
     for i in range(size):
         h = (h ^ word[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-    same = doc[:n] == doc[size - 1 :]
-    return doc[:n][same], h[same].view(np.int64)
+    return h, doc[:n] == doc[size - 1 :]
 
 
-def _bloom_bits(h: np.ndarray, log_bits: int) -> np.ndarray:
-    u = h.view(np.uint64)
-    s = np.uint64(64 - log_bits)
-    return np.stack([(u >> s), (u * np.uint64(0x9E3779B97F4A7C15)) >> s, (u * np.uint64(0xC2B2AE3D27D4EB4F)) >> s]).astype(np.int64)
+def shingles(texts: list[str], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every run of ``size`` words."""
+    doc, word, _, _ = words(texts)
+    h, same = _runs(doc, word, size)
+    return doc[: len(h)][same], h[same].view(np.int64)
+
+
+def echoes(texts: list[str], reach: int = 200, share: float = 0.4) -> list[set[int]]:
+    """For each text the numbers of its lines (blank ones left out) that say themselves again: so much of their runs of
+    words (five characters of Han and kana, three other words) stood within the ``reach`` words before."""
+    doc, word, at, kind = words(texts)
+    out: list[set[int]] = [set() for _ in texts]
+    if len(word) < 6:
+        return out
+    five, in_five = _runs(doc, word, 5)
+    three, in_three = _runs(doc, word, 3)
+    n = len(five)
+    h, ok = np.where(kind[:n] == 3, five, three[:n]), np.where(kind[:n] == 3, in_five, in_three[:n])
+    h = h ^ (doc[:n].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(h, kind="stable")
+    again = np.zeros(n, bool)
+    again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (np.diff(order) <= reach)
+    again &= ok
+    total, echoed = np.bincount(doc[:n], minlength=len(texts)), np.bincount(doc[:n], again, len(texts))
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    for d in np.flatnonzero(echoed >= 0.1 * np.maximum(1, total)).tolist():
+        if echoed[d] < 6:
+            continue
+        starts = [m.start() for m in _LINE.finditer(texts[d]) if m.group().strip()]
+        mine = np.flatnonzero(doc[:n] == d)
+        line = np.searchsorted(starts, at[mine] - first[d], "right") - 1
+        k = np.bincount(np.maximum(line, 0), minlength=len(starts))
+        e = np.bincount(np.maximum(line, 0), again[mine], len(starts))
+        out[d] = set(np.flatnonzero((e >= share * k) & (k >= 12)).tolist())
+    return out
 
 
 def find_spam(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.5,
-              joint: float = 0.75, hosts: int = 2, log_bits: int = 26) -> DataFrame:
+              joint: float = 0.75, hosts: int = 2, max_log_bits: int = 28) -> DataFrame:
     """``id_col``, density (share of the page that is strung) and stitched (share of the strung shingles that at
     least ``hosts`` hosts have) of the pages whose density exceeds ``share`` and, with half of
     stitched, reaches ``joint``: phrases that other hosts have too decide where the list alone doesn't.
 
     Null and blank texts are no cases; a null host counts for no host; repeated rows count once;
     an empty table gives an empty result; long pages are read whole. All pages' shingles are
-    counted; a Bloom filter of the strung pages' shingles (2**log_bits bits, 8 MB) lets only those
-    travel that can matter, as (shingle, host) made distinct before the shuffle, so a
-    host with a third of all pages sends each shingle once a task.
+    counted; a Bloom filter of the strung pages' shingles (ten bits each, sent up to 2**max_log_bits bits, 32 MB; beyond
+    that all shingles travel) lets only those travel that can matter, as (shingle, host) made distinct before the
+    shuffle, so a host with a third of all pages sends each shingle once a task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(host_col).alias("s")).where("t is not null")
@@ -240,32 +264,24 @@ def find_spam(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             ids, hashes, density = [], [], []
-            for d, t in zip(p["d"], p["t"], strict=True):
-                found, size, total = strung(t)
-                if total and size > share * total:
-                    _, h = shingles(["\n".join(found)])
-                    ids.append(d)
-                    density.append(size / total)
-                    hashes.append(np.unique(h).tolist())
+            every = p["t"].tolist()
+            for i, j in pieces(every):
+                for d, t, again in zip(p["d"].iloc[i:j], every[i:j], echoes(every[i:j]), strict=True):
+                    found, size, total = strung(t, again)
+                    if total and size > share * total:
+                        _, h = shingles(["\n".join(found)])
+                        ids.append(d)
+                        density.append(size / total)
+                        hashes.append(np.unique(h).tolist())
             if ids:
                 yield pd.DataFrame({"d": ids, "density": density, "h": hashes})
 
     cand = stored(rows.select("d", "t").mapInPandas(candidates, f"d {kind}, density double, h array<long>").dropDuplicates(["d"]), scratch(spark, "strung"))
 
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << log_bits, bool)
-        some = False
-        for p in parts:
-            for h in p["h"]:
-                if len(h):
-                    bits[_bloom_bits(np.asarray(h, np.int64), log_bits).ravel()] = some = True
-        if some:
-            yield pd.DataFrame({"b": [np.packbits(bits).tobytes()]})
-
-    sent_bits = np.zeros(1 << (log_bits - 3), np.uint8)
-    for r in cand.select("h").coalesce(4).mapInPandas(fill, "b binary").toLocalIterator():
-        sent_bits |= np.frombuffer(r["b"], np.uint8)
-    sent = spark.sparkContext.broadcast(sent_bits)
+    # Ten bits a shingle; where that is too much to send, all shingles travel, made distinct by task.
+    total = cand.agg(F.sum(F.size("h"))).first()[0] or 0
+    log_bits = max(10, math.ceil(math.log2(10 * total + 1)))
+    sent = spark.sparkContext.broadcast(key_filter(cand, log_bits) if log_bits <= max_log_bits else None)
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, waiting, many = sent.value, [], 0
@@ -276,10 +292,7 @@ def find_spam(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             every = p["t"].tolist()
             for i, j in pieces(every, 1024):
                 doc, h = shingles(every[i:j])
-                at = _bloom_bits(h, log_bits)
-                hit = np.ones(len(h), bool)
-                for row in at:
-                    hit &= (bits[row >> 3] >> (7 - (row & 7)).astype(np.uint8) & 1).astype(bool)
+                hit = np.ones(len(h), bool) if bits is None else may_hold(bits, h, log_bits)
                 if hit.any():
                     waiting.append(np.unique(np.stack([h[hit], host[code[i:j][doc[hit]]]]), axis=1))
                     many += waiting[-1].shape[1]
