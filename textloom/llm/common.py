@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Full-width forms U+FF01..U+FF5E and the ideographic space, by rule.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+_homes: set[str] = set()
 SPACES = r"(?U)\s+"
 
 
@@ -35,30 +36,44 @@ def normal_term(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(fold_width(c), SPACES, " ")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A table of the data folder; with ``spread`` one that comes in fewer partitions than half the cores (so a
-    small one) is spread over all."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False, most_bytes: int = 1 << 30) -> DataFrame:
+    """A table of the data folder; with ``spread`` one of at most ``most_bytes`` that comes in fewer partitions than half
+    the cores is spread over all (a larger one is read as it lies, its shuffle would cost more than it gains)."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() * 2 <= cores else df
+    if not spread or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return df.repartition(cores) if size <= most_bytes else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where the session
-    names none (tests) a folder of its own is set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where the session names none and all tasks run in
+    the driver's process (tests) a folder of its own is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jsc = spark.sparkContext._jsc.sc()
         d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application that is deleted when it ends."""
+    home = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _homes.add(home)
+    return f"{home}/{what}-{uuid.uuid4().hex}"
 
 
 def shared_file(spark: SparkSession, what: str, data: bytes) -> str:

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import base64
 import mmap
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +19,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.common import shared_file
+
 # The split of the public byte-level BPE vocabularies into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -204,11 +204,7 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     """
     spark: SparkSession = texts.sparkSession
     lexicon = build_lexicon(texts, text_col, vocabulary) if lexicon is None else lexicon
-    fd, path = tempfile.mkstemp(prefix="lexicon-", suffix=".fst")
-    with os.fdopen(fd, "wb") as f:
-        f.write(lexicon.to_bytes())
-    spark.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    name = shared_file(spark, "lexicon", lexicon.to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
