@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.sources.store import stored
 
 # Colours of the entity types.
 TYPE_COLORS = {
@@ -81,6 +82,9 @@ def color(kind: Column) -> Column:
     return out
 
 
+MENU = 20  # hits a search box shows of those it is given
+
+
 def search(n: DataFrame, query: str, limit: int = 60) -> DataFrame:
     """Nodes whose name contains the query, whatever the case, the shortest names first, then by id."""
     q = query.strip().lower()
@@ -103,26 +107,37 @@ def entity_detail(n: DataFrame, e: DataFrame, entity: str, cap: int = 80) -> Dat
 
 def neighbourhood(e: DataFrame, entity: str, hops: int, budget: int = 200) -> DataFrame:
     """id of the nodes within ``hops`` edges of a node, whatever their direction; the search stops after a
-    step with more than ``budget`` nodes, which all stay. Each hop is one join of a frontier."""
+    step with more than ``budget`` nodes, which all stay. Each hop is one join of a frontier; what was reached is
+    stored, so a hop is computed once."""
     spark = e.sparkSession
-    both = e.select(F.col("source").alias("id"), F.col("target").alias("next")).union(e.select("target", "source")).distinct()
+    both = e.select(F.col("source").alias("id"), F.col("target").alias("next")).union(e.select("target", "source"))
     seen = spark.createDataFrame([(entity,)], "id string")
-    frontier = seen
+    frontier, n = seen, 1
     for i in range(hops):
         frontier = both.join(frontier, "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+        if i + 1 < hops:
+            frontier = stored(frontier, "frontier")
+            n += frontier.count()
         seen = seen.union(frontier)
-        if i + 1 < hops and seen.limit(budget + 1).count() > budget:
+        if n > budget:
             break
     return seen
 
 
 def subgraph(n: DataFrame, e: DataFrame, entity: str, hops: int = 1, budget: int = 200) -> DataFrame:
-    """Nodes around a node with degree inside the subgraph and the size they are drawn with."""
-    ids = neighbourhood(e, entity, hops, budget)
+    """Nodes around a node with degree inside the subgraph and how they are drawn: size, colour, border, label."""
+    ids = stored(neighbourhood(e, entity, hops, budget), "reached")
     inner = induced(e, ids)
-    size = F.when(F.col("id") == entity, F.lit(28.0)).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(22.0), 8 + F.sqrt(F.col("degree")) * 2)))
+    centre = F.col("id") == entity
+    size = F.when(centre, F.lit(28.0)).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(22.0), 8 + F.sqrt(F.col("degree")) * 2)))
     got = n.join(ids, "id", "left_semi").join(degrees(inner), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return got.select("id", "name", "entity_type", "degree", F.round(size, 4).alias("symbol_size"), color(F.col("entity_type")).alias("color"))
+    return got.select("id", "name", "entity_type", "degree", F.round(size, 4).alias("symbol_size"), color(F.col("entity_type")).alias("color"),
+                      F.when(centre, "#ffffff").otherwise("transparent").alias("border_color"), F.when(centre, 3).otherwise(0).alias("border_width"), F.lit(True).alias("labelled"))
+
+
+def subgraph_edges(e: DataFrame, entity: str, hops: int = 1, budget: int = 200) -> DataFrame:
+    """The edges among the nodes around a node, with relation and evidence."""
+    return induced(e, neighbourhood(e, entity, hops, budget)).select("source", "target", "relation", "evidence", "doc_id", "sentence_id")
 
 
 def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
@@ -131,12 +146,27 @@ def induced(e: DataFrame, ids: DataFrame) -> DataFrame:
     return e.join(i.withColumnRenamed("id", "source"), "source", "left_semi").join(i.withColumnRenamed("id", "target"), "target", "left_semi").select(*e.columns)
 
 
+def _top(n: DataFrame, e: DataFrame, limit: int) -> DataFrame:
+    got = n.join(degrees(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return got.orderBy(F.col("degree").desc(), (F.coalesce("entity_type", F.lit("Concept")) != "Concept").desc(), "id").limit(limit)
+
+
 def overview(n: DataFrame, e: DataFrame, limit: int = 2000) -> DataFrame:
     """The nodes of highest degree, typed ones first among equals, then by id, with their drawn size and label."""
-    got = n.join(degrees(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    top = got.orderBy(F.col("degree").desc(), (F.coalesce("entity_type", F.lit("Concept")) != "Concept").desc(), "id").limit(limit)
     size = F.greatest(F.lit(6.0), F.least(F.lit(26.0), 6 + F.sqrt(F.col("degree")) * 1.8))
-    return top.select("id", "name", "entity_type", "degree", F.round(size, 4).alias("symbol_size"), (size > 12).alias("labelled"), color(F.col("entity_type")).alias("color"))
+    return _top(n, e, limit).select("id", "name", "entity_type", "degree", F.round(size, 4).alias("symbol_size"), (size > 12).alias("labelled"), color(F.col("entity_type")).alias("color"))
+
+
+def overview_edges(n: DataFrame, e: DataFrame, limit: int = 2000) -> DataFrame:
+    """The edges among the nodes of the overview."""
+    return induced(e, _top(n, e, limit)).select("source", "target", "relation", "doc_id", "sentence_id")
+
+
+def legend(n: DataFrame) -> DataFrame:
+    """Each entity type with its nodes, place (the most frequent first, equals by name) and colour."""
+    kinds = n.groupBy(F.coalesce("entity_type", F.lit("Concept")).alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("n").desc(), "entity_type"))  # one row a type
+    return kinds.select("entity_type", "n", place.alias("place"), color(F.col("entity_type")).alias("color"))
 
 
 def of_types(n: DataFrame, e: DataFrame, types: list[str]) -> DataFrame:

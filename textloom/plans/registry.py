@@ -16,6 +16,7 @@ from textloom.plans import pipeline
 from textloom.plans import sql as S
 from textloom.profile import ZH
 from textloom.sources import io
+from textloom.sources.store import stored
 
 P = ZH
 HUB = "低可探测风洞模型"
@@ -61,7 +62,8 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return G.nodes(mentions(spark, d)), G.edges(relations(spark, d))
+    """The graph's nodes and its edges; the edges, which several steps of a query read, are stored."""
+    return G.nodes(mentions(spark, d)), stored(G.edges(relations(spark, d)), "edges")
 
 
 # Text.
@@ -255,7 +257,7 @@ def llm_relation_validate(spark: SparkSession, d: str) -> DataFrame:
 
 # Graph.
 def kg_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return kg(spark, d)[0]
+    return G.nodes(mentions(spark, d))
 
 
 def kg_nodes_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +265,7 @@ def kg_nodes_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_edges(spark: SparkSession, d: str) -> DataFrame:
-    return kg(spark, d)[1]
+    return G.edges(relations(spark, d))
 
 
 def rdf_triples(spark: SparkSession, d: str) -> DataFrame:
@@ -289,19 +291,27 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_stats_types(spark: SparkSession, d: str) -> DataFrame:
-    return T.type_distribution(kg(spark, d)[0], "entity_type")
+    return T.type_distribution(kg_nodes(spark, d), "entity_type")
 
 
 def graph_stats_relations(spark: SparkSession, d: str) -> DataFrame:
-    return T.type_distribution(kg(spark, d)[1], "relation")
+    return T.type_distribution(kg_edges(spark, d), "relation")
 
 
 def degree(spark: SparkSession, d: str) -> DataFrame:
-    return G.degrees(kg(spark, d)[1])
+    return G.degrees(kg_edges(spark, d))
 
 
 def search_entities(spark: SparkSession, d: str) -> DataFrame:
-    return G.search(kg(spark, d)[0], " Model").select("id", "name", "entity_type")
+    return G.search(kg_nodes(spark, d), " Model").select("id", "name", "entity_type")
+
+
+def search_menu(spark: SparkSession, d: str) -> DataFrame:
+    return G.search(kg_nodes(spark, d), "模型", G.MENU).select("id", "name", "entity_type")
+
+
+def legend_order(spark: SparkSession, d: str) -> DataFrame:
+    return G.legend(kg_nodes(spark, d))
 
 
 def entity_detail(spark: SparkSession, d: str) -> DataFrame:
@@ -316,6 +326,19 @@ def subgraph_2hop(spark: SparkSession, d: str) -> DataFrame:
     return G.subgraph(*kg(spark, d), HUB, 2, budget=10_000_000)
 
 
+def subgraph_2hop_budget(spark: SparkSession, d: str) -> DataFrame:
+    """As it is served: no step beyond one with more than 200 nodes."""
+    return G.subgraph(*kg(spark, d), HUB, 2).select("id", "degree")
+
+
+def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.subgraph_edges(kg(spark, d)[1], HUB, 2)
+
+
+def overview_edges(spark: SparkSession, d: str) -> DataFrame:
+    return G.overview_edges(*kg(spark, d), 2000)
+
+
 def overview_topn(spark: SparkSession, d: str) -> DataFrame:
     return G.overview(*kg(spark, d), 2000)
 
@@ -366,8 +389,8 @@ _QUERIES = (
     token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, pmi_token, term_scores, term_topk,
     reject_reasons, finalize_terms, finalize_reviewed, llm_batches, llm_merge, review_merge, ner_occurrences, ner_greedy, rule_entities, entities_clean,
     entity_pairs, relations_raw, relations_clean, llm_relation_requests, llm_relation_validate, kg_nodes, kg_nodes_canonical, kg_edges, rdf_triples,
-    turtle_lines, upsert_merge, matched_edges, graph_stats, graph_stats_types, graph_stats_relations, degree, search_entities, entity_detail,
-    subgraph_1hop, subgraph_2hop, overview_topn, type_filter, gold_select, gold_perturb, eval_relations, eval_entities, eval_by_type, doccano_export,
+    turtle_lines, upsert_merge, matched_edges, graph_stats, graph_stats_types, graph_stats_relations, degree, search_entities, search_menu, legend_order, entity_detail,
+    subgraph_1hop, subgraph_2hop, subgraph_2hop_budget, subgraph_edges, overview_edges, overview_topn, type_filter, gold_select, gold_perturb, eval_relations, eval_entities, eval_by_type, doccano_export,
     graph_from_documents,
 )
 

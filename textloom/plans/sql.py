@@ -148,14 +148,20 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id)"""
     dist = lambda t, c: f"SELECT coalesce({c}, '') AS {c}, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {t} GROUP BY 1"
 
-    def hops(k: int) -> str:
+    def reach(k: int, budget: int = 1 << 40) -> str:
         both = "bo AS (SELECT source AS id, target AS nx FROM e UNION SELECT target, source FROM e)"
         h1 = f"h1 AS (SELECT {q(hub)} AS id UNION SELECT nx FROM bo WHERE id = {q(hub)})"
-        h2 = "h2 AS (SELECT id FROM h1 UNION SELECT nx FROM bo WHERE id IN (SELECT id FROM h1))"
-        return f"""WITH {kg}, {both}, {h1}, {h2}, ie AS (SELECT * FROM e WHERE source IN (SELECT id FROM h{k}) AND target IN (SELECT id FROM h{k})),
+        h2 = f"h2 AS (SELECT id FROM h1 UNION SELECT nx FROM bo WHERE id IN (SELECT id FROM h1) AND (SELECT count(*) FROM h1) <= {budget})"
+        return f"""WITH {kg}, {both}, {h1}, {h2}, ie AS (SELECT * FROM e WHERE source IN (SELECT id FROM h{k}) AND target IN (SELECT id FROM h{k}))"""
+
+    def hops(k: int, budget: int = 1 << 40) -> str:
+        return f"""{reach(k, budget)},
             id2 AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM ie UNION ALL SELECT target FROM ie) GROUP BY id)
             SELECT n.id, name, entity_type, coalesce(degree, 0) AS degree, round(CASE WHEN n.id = {q(hub)} THEN 28.0::DOUBLE ELSE greatest(10.0::DOUBLE, least(22.0::DOUBLE, 8 + sqrt(coalesce(degree, 0)) * 2)) END, 4) AS symbol_size,
-            {color('entity_type')} AS color FROM n LEFT JOIN id2 ON n.id = id2.id WHERE n.id IN (SELECT id FROM h{k})"""
+            {color('entity_type')} AS color, CASE WHEN n.id = {q(hub)} THEN '#ffffff' ELSE 'transparent' END AS border_color, CASE WHEN n.id = {q(hub)} THEN 3 ELSE 0 END AS border_width, true AS labelled
+            FROM n LEFT JOIN id2 ON n.id = id2.id WHERE n.id IN (SELECT id FROM h{k})"""
+
+    best = "t AS (SELECT n.*, coalesce(degree, 0) AS degree FROM n LEFT JOIN dg USING (id)), o AS (SELECT * FROM t ORDER BY degree DESC, (entity_type <> 'Concept') DESC, id LIMIT 2000)"
 
     def scores(side_gold: str, side_pred: str, by: str = "") -> str:
         g = f"{by}, " if by else ""
@@ -260,7 +266,13 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
             FROM c LEFT JOIN n a ON a.id = source LEFT JOIN n z ON z.id = target""",
         "subgraph_1hop": hops(1),
         "subgraph_2hop": hops(2),
-        "overview_topn": f"""WITH {kg}, t AS (SELECT n.*, coalesce(degree, 0) AS degree FROM n LEFT JOIN dg USING (id)), o AS (SELECT * FROM t ORDER BY degree DESC, (entity_type <> 'Concept') DESC, id LIMIT 2000),
+        "subgraph_2hop_budget": f"SELECT id, degree FROM ({hops(2, 200)})",
+        "subgraph_edges": f"{reach(2, 200)} SELECT source, target, relation, evidence, doc_id, sentence_id FROM ie",
+        "overview_edges": f"WITH {kg}, {best} SELECT source, target, relation, doc_id, sentence_id FROM e WHERE source IN (SELECT id FROM o) AND target IN (SELECT id FROM o)",
+        "search_menu": f"WITH {kg} SELECT id, name, entity_type FROM n WHERE contains(lower(name), '模型') ORDER BY length(name), id LIMIT 20",
+        "legend_order": f"""WITH {kg}, k AS (SELECT coalesce(entity_type, 'Concept') AS entity_type, count(*) AS n FROM n GROUP BY 1)
+            SELECT entity_type, n, row_number() OVER (ORDER BY n DESC, entity_type)::INT AS place, {color('entity_type')} AS color FROM k""",
+        "overview_topn": f"""WITH {kg}, {best},
             z AS (SELECT *, greatest(6.0::DOUBLE, least(26.0::DOUBLE, 6 + sqrt(degree) * 1.8::DOUBLE)) AS size FROM o)
             SELECT id, name, entity_type, degree, round(size, 4) AS symbol_size, size > 12 AS labelled, {color('entity_type')} AS color FROM z""",
         "type_filter": f"WITH {kg}, i AS (SELECT id FROM n WHERE entity_type IN ('Structure', 'Mechanism', 'ControlMethod')) SELECT source, relation, target, doc_id, sentence_id FROM e WHERE source IN (SELECT id FROM i) AND target IN (SELECT id FROM i)",

@@ -23,10 +23,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input that comes in fewer partitions than half the cores is spread over all; others stay as read."""
+def spread(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """An input of at most ``most_bytes`` (by the optimizer's estimate) that comes in fewer partitions than half the cores
+    is spread over all; others stay as read: shuffling a large one costs more than it gains."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= most_bytes else df
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -107,6 +111,52 @@ def send_batches(df: DataFrame, send: Callable[[list[dict]], None], size: int =
     df.foreachPartition(run)
 
 
+# The graph store's statements.
+CONSTRAINT = "CREATE CONSTRAINT entity_id IF NOT EXISTS FOR (n:Entity) REQUIRE n.id IS UNIQUE"
+
+
+def _label(kind: str | None) -> str:
+    """A name as a label or relation of the store's language, quoted."""
+    return "`" + (kind or "Concept").replace("`", "``") + "`"
+
+
+def node_statement(kind: str | None) -> str:
+    """Merges rows (id, name, entity_type, source_doc) of one type by id and gives them the type as a second label."""
+    return f"UNWIND $rows AS r MERGE (n:Entity {{id: r.id}}) SET n:{_label(kind)}, n.name = r.name, n.entity_type = r.entity_type, n.source_doc = r.source_doc"
+
+
+def edge_statement(relation: str) -> str:
+    """Merges rows (source, target, doc_id, sentence_id, evidence) of one relation; ends that aren't there are skipped."""
+    return (f"UNWIND $rows AS r MATCH (a:Entity {{id: r.source}}) MATCH (b:Entity {{id: r.target}}) "
+            f"MERGE (a)-[e:{_label(relation)} {{doc_id: r.doc_id, sentence_id: r.sentence_id}}]->(b) SET e.evidence = r.evidence")
+
+
+def send_graph(nodes: DataFrame, edges: DataFrame, connect: Callable[[], Callable[[str, dict], None]], size: int = 500) -> None:
+    """Upsert a graph into a store that takes statements: the constraint first, then the nodes, then the edges.
+
+    ``connect`` is called in each task and gives a function of a statement and its parameters; rows go out in batches
+    of one type (relation), at most ``size`` each. Edges follow once all nodes are there; a repeated task merges the same."""
+    connect()(CONSTRAINT, {})
+
+    def sender(kind: str, statement: Callable[[str], str]) -> Callable[[Iterable], None]:
+        def run(rows: Iterable) -> None:
+            send, waiting = connect(), {}
+            for r in rows:
+                batch = waiting.setdefault(r[kind], [])
+                batch.append(r.asDict())
+                if len(batch) == size:
+                    send(statement(r[kind]), {"rows": batch})
+                    waiting[r[kind]] = []
+            for k, batch in waiting.items():
+                if batch:
+                    send(statement(k), {"rows": batch})
+
+        return run
+
+    nodes.foreachPartition(sender("entity_type", node_statement))
+    edges.foreachPartition(sender("relation", edge_statement))
+
+
 def doccano(sentences: DataFrame) -> DataFrame:
     """Records for an annotation tool: text and a struct of where it is from."""
     return sentences.select("text", F.struct("doc_id", "title", "sentence_id").alias("meta"))
