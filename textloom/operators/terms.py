@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.profile import Profile
+from textloom.sources.store import stored
 
 
 def _parts(p: Profile, text_col: str) -> Column:
@@ -60,18 +61,22 @@ def ngram_candidates(docs: DataFrame, p: Profile, min_freq: int | None = None) -
 def tfidf(docs: DataFrame, p: Profile, id_col: str = "doc_id", l2: bool = False, vocabulary: int = 8000) -> DataFrame:
     """term, tfidf summed over the documents, with the smooth idf ln((1+N)/(1+df))+1.
 
-    ``l2``: the vocabulary is cut to the most frequent terms and each document's vector has length 1.
+    ``l2``: the vocabulary is cut to the most frequent tokens, valid or not, each document's vector over it has length
+    1, and only then are the valid ones taken, added up by normal form. Counts by document and token are stored: they
+    give the document frequencies, the norms and the sums.
     """
     n = docs.count()
-    tf = token_counts(docs, p, id_col)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    if l2:
-        df = df.orderBy(F.col("total").desc(), "term").limit(vocabulary)
-    w = tf.join(df, "term").withColumn("w", F.col("tf") * (F.ln((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
-    if l2:
-        norm = w.groupBy("d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        w = w.join(norm, "d").withColumn("w", F.col("w") / F.col("norm"))
-    return w.groupBy("term").agg(F.sum("w").alias("tfidf"))
+    if not l2:
+        tf = stored(token_counts(docs, p, id_col), "tf")
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return tf.join(df, "term").groupBy("term").agg(F.sum(F.col("tf") * (F.ln((F.lit(1.0) + n) / (1 + F.col("df"))) + 1)).alias("tfidf"))
+    parts = docs.select(F.col(id_col).alias("d"), F.explode(_parts(p, "text")).alias("token")).where("token <> ''")
+    tf = stored(parts.groupBy("d", "token").agg(F.count(F.lit(1)).alias("tf")), "tf")
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.col("total").desc(), "token").limit(vocabulary)
+    w = tf.join(F.broadcast(df), "token").withColumn("w", F.col("tf") * (F.ln((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
+    norm = w.groupBy("d").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    valid = w.where(X.valid_token(F.col("token"), p))
+    return valid.join(norm, "d").groupBy(X.normalize_term(F.col("token")).alias("term")).agg(F.sum(F.col("w") / F.col("norm")).alias("tfidf"))
 
 
 def needle_counts(docs: DataFrame, needles: list[str], text_col: str = "text") -> DataFrame:
@@ -164,6 +169,16 @@ def term_scores(freq: DataFrame, weights: DataFrame, cohesion: DataFrame, p: Pro
     )
 
 
+def extract_terms(docs: DataFrame, p: Profile, id_col: str = "doc_id") -> DataFrame:
+    """The raw term table of a corpus: every candidate with freq, tfidf, pmi, score, entity_type, keep and alias.
+
+    The candidates are counted once and stored; the ranking for cohesion and the scores read them.
+    """
+    freq = stored(ngram_candidates(docs, p), "candidates")
+    got = term_scores(freq, tfidf(docs, p, id_col), pmi(docs, freq, p.max_pmi), p)
+    return got.withColumn("keep", F.lit("Y")).withColumn("alias", F.lit(""))
+
+
 def top_terms(scored: DataFrame, k: int) -> DataFrame:
     """The k best terms by score, frequency and term: a total order."""
     return scored.orderBy(F.col("score").desc(), F.col("freq").desc(), "term").limit(k)

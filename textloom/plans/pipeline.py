@@ -21,9 +21,12 @@ STAGES = ("preprocess", "terms", "extract", "relation", "kg")
 
 def dictionary(docs: DataFrame, p: Profile, k: int, id_col: str = "doc_id") -> DataFrame:
     """term, entity_type: the k best candidate terms of the documents that no rule rejects."""
-    freq = T.ngram_candidates(docs, p)
-    scored = T.term_scores(freq, T.tfidf(docs, p, id_col), T.pmi(docs, freq, p.max_pmi), p)
-    kept = T.finalize_terms(scored.withColumn("alias", F.lit("")), p).where("reject_reason is null") if p.final_noise else scored
+    return finalized(T.extract_terms(docs, p, id_col), p, k)
+
+
+def finalized(raw: DataFrame, p: Profile, k: int, replies: DataFrame | None = None) -> DataFrame:
+    """term, entity_type: the k best rows of a raw term table that no rule rejects (and a review, if there is one, has)."""
+    kept = T.finalize_terms(raw, p, replies).where("reject_reason is null") if p.final_noise or replies is not None else raw
     return T.top_terms(kept, k).select("term", "entity_type")
 
 

@@ -20,7 +20,7 @@ from textloom.sources.store import stored
 
 P = ZH
 HUB = "低可探测风洞模型"
-PMI_CAP, TOP = 60, 300  # the cap of the SQL alone; the queries take P.max_pmi
+TOP = 300
 ALLOWED = ("ControlMethod", "Mechanism", "Structure", "Performance", "Mission", "Parameter", "Aircraft", "Document", "Concept")
 
 
@@ -153,11 +153,13 @@ def pmi_token(spark: SparkSession, d: str) -> DataFrame:
     return T.pmi_tokens(documents(spark, d), P).select("term", "freq", F.round("pmi", 5).alias("pmi"))
 
 
+def extract_terms(spark: SparkSession, d: str) -> DataFrame:
+    got = T.extract_terms(documents(spark, d), P)
+    return got.select("term", "freq", F.round("tfidf", 3).alias("tfidf"), F.round("pmi", 3).alias("pmi"), F.round("score", 3).alias("score"), "entity_type", "keep", "alias")
+
+
 def term_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d)
-    freq = T.ngram_candidates(docs, P)
-    got = T.term_scores(freq, T.tfidf(docs, P), T.pmi(docs, freq, P.max_pmi), P)
-    return got.select("term", "freq", F.round("score", 3).alias("score"), "entity_type")
+    return T.extract_terms(documents(spark, d), P).select("term", "freq", F.round("score", 3).alias("score"), "entity_type")
 
 
 def term_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -386,7 +388,7 @@ def graph_from_documents(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     clean_text, page_text, split_sentences, sentence_stats, garbled_flag, text_quality, best_candidate, doc_metadata, ascii_names, page_ranges,
-    token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, pmi_token, term_scores, term_topk,
+    token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, pmi_token, term_scores, extract_terms, term_topk,
     reject_reasons, finalize_terms, finalize_reviewed, llm_batches, llm_merge, review_merge, ner_occurrences, ner_greedy, rule_entities, entities_clean,
     entity_pairs, relations_raw, relations_clean, llm_relation_requests, llm_relation_validate, kg_nodes, kg_nodes_canonical, kg_edges, rdf_triples,
     turtle_lines, upsert_merge, matched_edges, graph_stats, graph_stats_types, graph_stats_relations, degree, search_entities, search_menu, legend_order, entity_detail,
@@ -400,4 +402,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return S.oracles(P, hub=HUB, pmi_cap=PMI_CAP, top=TOP, allowed=ALLOWED)
+    return S.oracles(P, hub=HUB, pmi_cap=P.max_pmi, top=TOP, allowed=ALLOWED)

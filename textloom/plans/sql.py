@@ -118,7 +118,12 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         low AS (SELECT lower(coalesce(text, '')) AS t FROM documents), csize AS (SELECT sum(length(coalesce(text, ''))) + count(*) - 1 AS c FROM documents),
         cut AS (SELECT term, unnest(range(1, length(term))) AS i FROM top), cuts AS (SELECT term, term[1:i] AS l, term[i+1:] AS r FROM cut),
         needle AS (SELECT term AS x FROM cuts UNION SELECT l FROM cuts UNION SELECT r FROM cuts),
-        cnt AS (SELECT x, sum((length(t) - length(replace(t, x, ''))) // length(x)) AS k FROM needle, low GROUP BY x),
+        own AS (SELECT x, len(list_filter(range(1, length(x)), lambda i: x[1:length(x) - i] = x[i + 1:])) > 0 AS bordered FROM needle),
+        sizes AS (SELECT DISTINCT length(x) AS k FROM own WHERE NOT bordered),
+        win AS MATERIALIZED (SELECT substr(t, i, {p.max_term}) AS w, count(*) AS n FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM low) GROUP BY 1),
+        cnt AS (SELECT x, coalesce(k, 0) AS k FROM needle LEFT JOIN (
+            SELECT substr(w, 1, k) AS x, sum(n) AS k FROM win, sizes WHERE length(w) >= k AND substr(w, 1, k) IN (SELECT x FROM own WHERE NOT bordered) GROUP BY 1
+            UNION ALL SELECT x, sum((length(t) - length(replace(t, x, ''))) // length(x)) FROM own, low WHERE bordered GROUP BY x) USING (x)),
         pm AS (SELECT cuts.term, min(log2(a.k * c::DOUBLE / (greatest(b.k, 1)::DOUBLE * greatest(d.k, 1)))) AS pmi FROM cuts JOIN cnt a ON a.x = cuts.term JOIN cnt b ON b.x = l JOIN cnt d ON d.x = r, csize WHERE a.k > 0 GROUP BY cuts.term)"""
     reason = (f"CASE WHEN term = '' THEN 'blank' WHEN term IN {listed(p.trigger_words)} THEN 'trigger' WHEN term IN {listed(p.final_noise)} THEN 'noise'"
               f" WHEN regexp_full_match(term, '[A-Za-z][A-Za-z0-9\\-]*') AND lower(term) NOT IN {listed(p.final_latin_keep)} THEN 'foreign' WHEN length(term) <= 1 THEN 'short'"
@@ -209,13 +214,18 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         "ngram_candidates": f"WITH {tok}, {grams('tok')} SELECT term, freq FROM cnd",
         "ngram_sentence_bounded": f"WITH {doc_sents}, tok AS (SELECT list_transform(list_filter(regexp_split_to_array(text, '[^一-鿿A-Za-z0-9]+'), lambda x: {valid('x', p)}), lambda x: {normal('x')}) AS tokens FROM ds), {grams('tok')} SELECT term, freq FROM cnd",
         "tfidf_raw": f"WITH {raw_tfidf} SELECT term, round(tfidf, 5) AS tfidf FROM w",
-        "tfidf_l2": f"""WITH {tf}, v AS (SELECT * FROM df ORDER BY total DESC, term LIMIT 8000), w AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term), n),
-            l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id) SELECT term, round(sum(w / l), 5) AS tfidf FROM w JOIN l USING (doc_id) GROUP BY term""",
+        "tfidf_l2": f"""WITH n AS (SELECT count(*) AS n FROM documents), tk AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[^一-鿿A-Za-z0-9]+'), lambda x: x <> '')) AS token FROM documents),
+            tf AS (SELECT doc_id, token, count(*) AS tf FROM tk GROUP BY ALL), v AS (SELECT token, count(*) AS df, sum(tf) AS total FROM tf GROUP BY token ORDER BY total DESC, token LIMIT 8000),
+            w AS (SELECT doc_id, token, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (token), n), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY doc_id)
+            SELECT {normal('token')} AS term, round(sum(w / l), 5) AS tfidf FROM w JOIN l USING (doc_id) WHERE {valid('token', p)} GROUP BY 1""",
         "pmi_char": f"WITH {tok}, {grams('tok')}, {pmi} SELECT term, round(pmi, 5) AS pmi FROM pm",
         "pmi_token": f"""WITH {tok}, g AS ({token_grams}), c AS (SELECT g, n, count(*) AS c FROM g GROUP BY g, n), t AS (SELECT sum(c)::DOUBLE AS t FROM c WHERE n = 1),
             s AS (SELECT g, c, string_split(g, ' ') AS p, unnest(range(1, n)) AS i FROM c WHERE n > 1 AND c >= {p.min_freq}),
             x AS (SELECT g, c, array_to_string(p[1:i], ' ') AS l, array_to_string(p[i+1:], ' ') AS r FROM s)
             SELECT x.g AS term, x.c AS freq, round(min(log2(x.c * t / (a.c::DOUBLE * b.c))), 5) AS pmi FROM x JOIN c a ON a.g = x.l JOIN c b ON b.g = x.r, t GROUP BY x.g, x.c""",
+        "extract_terms": f"""WITH {raw_tfidf}, {grams('tok')}, {pmi} SELECT cnd.term, freq, round(coalesce(tfidf, 0), 3) AS tfidf, round(coalesce(pmi, 0), 3) AS pmi,
+            round(round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6), 3) AS score, {first_rule('cnd.term', p.type_rules, p.default_type)} AS entity_type, 'Y' AS keep, '' AS alias
+            FROM cnd LEFT JOIN w ON w.term = cnd.term LEFT JOIN pm ON pm.term = cnd.term""",
         "term_scores": f"""WITH {raw_tfidf}, {grams('tok')}, {pmi} SELECT cnd.term, freq, round(round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6), 3) AS score,
             {first_rule('cnd.term', p.type_rules, p.default_type)} AS entity_type FROM cnd LEFT JOIN w ON w.term = cnd.term LEFT JOIN pm ON pm.term = cnd.term""",
         "term_topk": f"WITH {dt} SELECT term, freq, score FROM dt ORDER BY score DESC, freq DESC, term LIMIT {top}",
