@@ -14,7 +14,7 @@ from textloom.operators import ner as N
 from textloom.operators import relations as R
 from textloom.operators import terms as T
 from textloom.plans import cli
-from textloom.plans.pipeline import Catalog, graph
+from textloom.plans.pipeline import Catalog, Versions, graph
 from textloom.profile import LATIN, ZH
 from textloom.sources import io
 from textloom.streaming import incremental as I
@@ -276,10 +276,10 @@ def test_pipeline_and_catalog(spark, tmp_path):
     c = Catalog(spark, str(tmp_path / "graphs"))
     n1, e1 = c.add("g", docs.limit(2))
     n2, e2 = c.add("g", docs)
-    assert c.has("g", "nodes") and c.get("g")[0].count() == n2.count() and spark.read.parquet(c._path("g", "documents")).count() == 4
+    assert c.has("g") and c.get("g")[0].count() == n2.count() and Versions(spark, c._path("g", "documents")).read().count() == 4
     assert [r["name"] for r in c.list().collect()] == ["g"]
     c.delete("g")
-    assert not c.has("g", "nodes") and e1 is not None and e2 is not None and n1 is not None
+    assert not c.has("g") and e1 is not None and e2 is not None and n1 is not None
 
 
 def test_glyphs_and_recognition(spark):

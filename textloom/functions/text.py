@@ -131,6 +131,14 @@ def strip_fences(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(c), r"\A```[A-Za-z]*\s*", ""), r"\s*```\z", ""))
 
 
+def drop_fence_lines(c: Column) -> Column:
+    """A reply without its first and last line if it begins with a fence; whatever these lines say."""
+    c = strip(c)
+    lines = F.split(c, "\n")
+    inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
+    return F.when(c.startswith("```"), inner).otherwise(c)
+
+
 def entity_id(c: Column) -> Column:
     """The node id of a name: trimmed, white space as underscores."""
     return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?U)\s+", "_")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.profile import Profile
+from textloom.sources.store import stored
 
 
 def sentences(docs: DataFrame, p: Profile, id_col: str = "doc_id", text_col: str = "text", first_id: int = 1) -> DataFrame:
@@ -36,12 +37,12 @@ def doc_metadata(files: DataFrame, p: Profile, name: str = "file_name", title: s
     """Documents numbered by file name, with their topic: the first rule a keyword of which the title has.
 
     Numbers come from a range partitioning by name: each partition is counted, and its rows get the
-    count before it, so no task holds all files.
+    count before it, so no task holds all files. The partitioned rows are stored, so both steps see the same ranges.
     """
     spark = files.sparkSession
-    sorted_ = files.repartitionByRange(F.col(name)).sortWithinPartitions(name).withColumn("part", F.spark_partition_id())
+    ranged = files.select(name, title).repartitionByRange(F.col(name)).withColumn("part", F.spark_partition_id())
     w = Window.partitionBy("part").orderBy(name)
-    counted = sorted_.withColumn("within", F.row_number().over(w))
+    counted = stored(ranged, "ranges").withColumn("within", F.row_number().over(w))
     sizes = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], 0
     for part in sorted(sizes):

@@ -56,6 +56,12 @@ def hash_share(*cols: str, salt: str) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def hash_number(*cols: str) -> Column:
+    """A whole number of 60 bits that depends on the columns' values alone, the same in any engine."""
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
 def perturbed_relations(gold: DataFrame, drop: float = 0.15, relabel: float = 0.05) -> DataFrame:
     """Gold relations less a share, some with another name; drawn by hash, so the same on every run."""
     k = ["doc_id", "sentence_id", "head", "relation", "tail"]
@@ -90,8 +96,8 @@ def synthetic_entities(terms: DataFrame, sentences: DataFrame, modifiers: tuple[
     """
     n = max(1, sentences.count())
     e = terms.select(F.explode(F.transform(F.array(*[F.lit(m) for m in modifiers]), lambda m: F.concat(m, F.col("term")))).alias("entity"), "entity_type")
-    at = F.pmod(F.xxhash64("entity"), F.lit(n))
-    ranked = sentences.select("doc_id", "sentence_id", F.pmod(F.xxhash64("doc_id", "sentence_id"), F.lit(n)).alias("slot"))
+    at = hash_number("entity") % n
+    ranked = sentences.select("doc_id", "sentence_id", (hash_number("doc_id", "sentence_id") % n).alias("slot"))
     one = ranked.groupBy("slot").agg(F.min(F.struct("doc_id", "sentence_id")).alias("s"))
     return e.withColumn("slot", at).join(one, "slot").select("s.doc_id", "s.sentence_id", "entity", "entity_type")
 
@@ -99,9 +105,9 @@ def synthetic_entities(terms: DataFrame, sentences: DataFrame, modifiers: tuple[
 def synthetic_relations(entities: DataFrame) -> DataFrame:
     """A relation from each entity to the one that follows it in the order of hashes of its doc_id, named by the
     types of both, else by hash."""
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("entity"), "entity")
+    w = Window.partitionBy("doc_id").orderBy(hash_number("entity"), "entity")
     p = entities.withColumn("tail", F.lead("entity").over(w)).withColumn("t_type", F.lead("entity_type").over(w)).where("tail is not null and tail <> entity")
-    name = F.element_at(F.array(*[F.lit(x) for x in OTHER_RELATIONS]), (F.pmod(F.xxhash64("entity", "tail"), F.lit(len(OTHER_RELATIONS))) + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in OTHER_RELATIONS]), (hash_number("entity", "tail") % len(OTHER_RELATIONS) + 1).cast("int"))
     for (h, t), r in TYPE_PAIRS.items():
         name = F.when((F.col("entity_type") == h) & (F.col("t_type") == t), r).otherwise(name)
     return p.select("doc_id", "sentence_id", F.col("entity").alias("head"), name.alias("relation"), "tail")

@@ -49,15 +49,22 @@ class Matcher:
         return sorted(taken, key=lambda x: (x[2], -(x[3] - x[2])))
 
 
+def last_types(terms: DataFrame, order: str | None = None) -> DataFrame:
+    """term, entity_type: of each term the type of its last row by ``order``; without an order the greatest type."""
+    t = terms.where("term is not null and term <> ''")
+    last = F.max("entity_type") if order is None else F.max_by("entity_type", order)
+    return t.groupBy("term").agg(last.alias("entity_type"))
+
+
 def find_mentions(sentences: DataFrame, terms: DataFrame, p: Profile, keys: tuple[str, ...] = ("doc_id", "sentence_id"), greedy: bool = True,
-                  patterns: bool = True, most: int = 500_000) -> DataFrame:
+                  patterns: bool = True, most: int = 500_000, order: str | None = None) -> DataFrame:
     """Mentions in each sentence; ``greedy`` resolves overlaps, else all dictionary occurrences are given.
 
-    The dictionary (term, entity_type; of a repeated term the last by type) is checked to have at
+    The dictionary (term, entity_type; of a repeated term the last row by ``order``) is checked to have at
     most ``most`` terms and broadcast; sentences are matched where they are, without a shuffle.
     """
     spark = sentences.sparkSession
-    rows = terms.groupBy("term").agg(F.max("entity_type").alias("entity_type")).where("term is not null and term <> ''").limit(most + 1).collect()
+    rows = last_types(terms, order).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("the dictionary is too large to broadcast")
     sent = spark.sparkContext.broadcast((sorted((r["term"], r["entity_type"]) for r in rows), p.entity_patterns if patterns and greedy else ()))
@@ -79,13 +86,13 @@ def find_mentions(sentences: DataFrame, terms: DataFrame, p: Profile, keys: tupl
     return sentences.where("text is not null").select(*keys, "text").mapInPandas(run, schema)
 
 
-def clean_mentions(raw: DataFrame, p: Profile, types: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "sentence_id")) -> DataFrame:
+def clean_mentions(raw: DataFrame, p: Profile, types: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "sentence_id"), order: str | None = None) -> DataFrame:
     """Mentions that are no trigger word, number, punctuation or single character, typed by ``types`` (term,
-    entity_type; the default type never overrides), the leftmost of each entity in a sentence."""
+    entity_type, of a repeated term the last row by ``order``; the default type never overrides), the leftmost of each entity in a sentence."""
     e = F.col("entity")
     good = raw.where(e.isNotNull() & ~e.isin(*p.trigger_words) & (F.length(e) > 1) & ~e.rlike(r"\A[0-9]+\.?[0-9]*\z") & ~e.rlike(r"(?U)\A[\s\W]+\z"))
     if types is not None:
-        t = types.groupBy(F.col("term").alias("entity")).agg(F.max("entity_type").alias("t_type")).where(F.col("t_type") != p.default_type)
+        t = last_types(types, order).select(F.col("term").alias("entity"), F.col("entity_type").alias("t_type")).where(F.col("t_type") != p.default_type)
         good = good.join(t, "entity", "left").withColumn("entity_type", F.coalesce("t_type", "entity_type")).drop("t_type")
     w = Window.partitionBy(*keys, "entity").orderBy("start_pos", "end_pos", "source", F.col("entity_type"))
     return good.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

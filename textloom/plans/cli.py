@@ -12,15 +12,16 @@ from textloom.operators import evaluate as E
 from textloom.operators import graph as G
 from textloom.operators import ner as N
 from textloom.operators import relations as R
-from textloom.plans.pipeline import dictionary
+from textloom.operators import terms as T
+from textloom.plans.pipeline import finalized
 from textloom.profile import LATIN, ZH
 from textloom.sources import io
 
-STAGES = ("preprocess", "terms", "extract", "clean", "relation", "annotate", "kg", "evaluate")
+STAGES = ("preprocess", "terms", "finalize", "extract", "clean", "relation", "annotate", "kg", "evaluate")
 
 
 def run(spark: SparkSession, stage: str, source: str, output: str, force: bool = False, other: str | None = None, profile: str = "zh", size: int = 3000) -> DataFrame | None:
-    """One stage from stored tables to a stored table; ``other`` is its second input (terms, gold)."""
+    """One stage from stored tables to a stored table; ``other`` is its second input (terms, replies of a review, gold)."""
     p = LATIN if profile == "latin" else ZH
     read = lambda x: io.read_texts(spark, x).withColumnRenamed("file_name", "doc_id") if stage in ("preprocess", "terms") and not x.endswith(".parquet") else spark.read.parquet(x)
     df = read(source)
@@ -30,7 +31,8 @@ def run(spark: SparkSession, stage: str, source: str, output: str, force: bool =
         return None
     made = {
         "preprocess": lambda: D.sentences(df, p),
-        "terms": lambda: dictionary(df, p, size),
+        "terms": lambda: T.extract_terms(df, p),
+        "finalize": lambda: finalized(df, p, size, spark.read.parquet(other) if other else None),
         "extract": lambda: N.find_mentions(df, spark.read.parquet(other), p),
         "clean": lambda: N.clean_mentions(df, p, spark.read.parquet(other) if other else None),
         "relation": lambda: R.clean_relations(R.raw_relations(df, p), p),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import pages as PG
 from textloom.functions import text as X
 from textloom.operators import documents as D
 from textloom.operators import evaluate as E
@@ -16,7 +17,7 @@ from textloom.plans import pipeline
 from textloom.plans import sql as S
 from textloom.profile import ZH
 from textloom.sources import io
-from textloom.sources.store import stored
+from textloom.sources.store import scratch, stored
 
 P = ZH
 HUB = "低可探测风洞模型"
@@ -215,6 +216,20 @@ def ner_greedy(spark: SparkSession, d: str) -> DataFrame:
     return N.find_mentions(sentences(spark, d), _halves(spark, d), P, patterns=False).select("doc_id", "sentence_id", "entity", "start_pos", "end_pos")
 
 
+def ner_with_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary and patterns together: the dictionary goes first, what overlaps it is dropped."""
+    return N.find_mentions(sentences(spark, d), _halves(spark, d), P).select("doc_id", "sentence_id", "entity", "start_pos", "end_pos", "source")
+
+
+def rule_positions(spark: SparkSession, d: str) -> DataFrame:
+    none = reference(spark, d).limit(0)
+    return N.find_mentions(sentences(spark, d), none, P).select("doc_id", "sentence_id", "entity", "entity_type", "start_pos", "end_pos")
+
+
+def last_types(spark: SparkSession, d: str) -> DataFrame:
+    return N.last_types(terms(spark, d), "term_id")
+
+
 def _halves(spark: SparkSession, d: str) -> DataFrame:
     """The reference names and their two halves of fixed length, so that terms overlap."""
     r = reference(spark, d)
@@ -379,6 +394,79 @@ def doccano_export(spark: SparkSession, d: str) -> DataFrame:
     return io.from_doccano(io.doccano(s))
 
 
+def gold_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The mentions in the sentences of the gold relations."""
+    r = relations(spark, d)
+    return E.annotated(mentions(spark, d).select("doc_id", "sentence_id", "entity", "entity_type"), E.gold_sentences(r, 400))
+
+
+def synthetic_gold(spark: SparkSession, d: str) -> DataFrame:
+    return E.synthetic_entities(reference(spark, d), sentences(spark, d).select("doc_id", "sentence_id"))
+
+
+def synthetic_gold_relations(spark: SparkSession, d: str) -> DataFrame:
+    return E.synthetic_relations(synthetic_gold(spark, d))
+
+
+# Pages and files.
+def _readings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A stand-in for parsers and a recogniser: each document is a page, read whole and with its Han characters or its
+    blanks lost, and every third has a recognised text in a fence."""
+    docs = documents(spark, d).where("text is not null").select("doc_id", (F.col("doc_id") % 7).alias("page"), "text")
+    say = lambda o, c: docs.select("doc_id", "page", F.lit(o).alias("ord"), c.alias("text"))
+    odd = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[一-鿿]", "%")).otherwise(F.col("text"))
+    every = say(0, odd).union(say(1, F.regexp_replace(odd, " ", ""))).union(say(2, F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.lit(""))))
+    return every, docs.where("doc_id % 3 = 0").select("doc_id", "page", F.concat(F.lit("```text\n"), "text", F.lit("\n```")).alias("reply"))
+
+
+def page_cascade(spark: SparkSession, d: str) -> DataFrame:
+    every, replies = _readings(spark, d)
+    return PG.join_pages(PG.read_pages(every, replies)).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("length"))
+
+
+def recognition_replay(spark: SparkSession, d: str) -> DataFrame:
+    every, replies = _readings(spark, d)
+    got = PG.with_recognition(every.where("ord = 0").drop("ord"), replies, ["doc_id", "page"])
+    return got.select("doc_id", F.md5("text").alias("digest"))
+
+
+def glyph_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Names written as glyph numbers of their GBK bytes, and back."""
+    r = reference(spark, d).select("term").distinct()
+    coded = F.pandas_udf(lambda names: names.map(lambda t: "".join(f"(cid:{int.from_bytes(c.encode('gbk'), 'big')})" for c in t + t)), "string")
+    return r.select("term", PG.repaired_glyphs(coded("term")).alias("text"))
+
+
+def latex_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters of a report made of all entries, numbered."""
+    r = spark.read.parquet(f"{d}/term_reference.parquet")
+    text = F.concat(F.lit("intro\n\\section{"), "canonical", F.lit("}\nbody\n\\section{"), "name_en", F.lit("} end"))
+    return r.select("ref_id", F.posexplode(X.sections(text)).alias("pos", "chapter"))
+
+
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    m, path = spark.read.parquet(f"{d}/doc_meta.parquet").select("doc_id", "title", "file_name", "topic"), scratch(spark, "jsonl")
+    io.write_jsonl(m, path)
+    return io.read_jsonl(spark, path, m.schema)
+
+
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Null and empty are the same in CSV."""
+    m, path = spark.read.parquet(f"{d}/doc_meta.parquet").select("doc_id", "title", "file_name", "topic"), scratch(spark, "csv")
+    io.write_csv(m, path)
+    return io.read_csv(spark, path).select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "file_name", "topic")])
+
+
+def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A graph saved and loaded, and a second save that an earlier one keeps from happening."""
+    path = scratch(spark, "graph")
+    io.save_graph(*kg(spark, d), path)
+    n, e = io.load_graph(spark, path)
+    io.write_once(n, f"{path}/once")
+    io.write_once(n.limit(0), f"{path}/once")
+    return spark.read.parquet(f"{path}/once").select("id", "name").unionByName(e.select(F.col("source").alias("id"), F.col("target").alias("name")))
+
+
 def graph_from_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole way: documents to sentences, dictionary, mentions, relations and the top-degree overview."""
     docs = documents(spark, d)
@@ -389,11 +477,12 @@ def graph_from_documents(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     clean_text, page_text, split_sentences, sentence_stats, garbled_flag, text_quality, best_candidate, doc_metadata, ascii_names, page_ranges,
     token_freq, noise_filter_audit, term_types, ngram_candidates, ngram_sentence_bounded, tfidf_raw, tfidf_l2, pmi_char, pmi_token, term_scores, extract_terms, term_topk,
-    reject_reasons, finalize_terms, finalize_reviewed, llm_batches, llm_merge, review_merge, ner_occurrences, ner_greedy, rule_entities, entities_clean,
+    reject_reasons, finalize_terms, finalize_reviewed, llm_batches, llm_merge, review_merge, ner_occurrences, ner_greedy, ner_with_rules, rule_positions, last_types, rule_entities, entities_clean,
     entity_pairs, relations_raw, relations_clean, llm_relation_requests, llm_relation_validate, kg_nodes, kg_nodes_canonical, kg_edges, rdf_triples,
     turtle_lines, upsert_merge, matched_edges, graph_stats, graph_stats_types, graph_stats_relations, degree, search_entities, search_menu, legend_order, entity_detail,
     subgraph_1hop, subgraph_2hop, subgraph_2hop_budget, subgraph_edges, overview_edges, overview_topn, type_filter, gold_select, gold_perturb, eval_relations, eval_entities, eval_by_type, doccano_export,
-    graph_from_documents,
+    gold_entities, synthetic_gold, synthetic_gold_relations, page_cascade, recognition_replay, glyph_repair, latex_sections, jsonl_round_trip, csv_round_trip,
+    graph_round_trip, graph_from_documents,
 )
 
 

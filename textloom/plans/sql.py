@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from textloom.operators.evaluate import MODIFIERS, OTHER_RELATIONS, TYPE_PAIRS
 from textloom.operators.graph import TYPE_COLORS
 from textloom.profile import Profile
 
@@ -188,6 +189,31 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
     occ = lambda terms: f"""oc AS (SELECT doc_id, sentence_id, term AS entity, unnest(list_filter(range(1, length(text) - length(term) + 2), lambda i: substr(text, i, length(term)) = term)) - 1 AS start_pos
         FROM s JOIN {terms} ON contains(text, term))"""
     halves = "hv AS (SELECT DISTINCT term FROM (SELECT canonical AS term FROM term_reference UNION SELECT substr(canonical, 1, 4) FROM term_reference UNION SELECT substr(canonical, 3, 4) FROM term_reference) WHERE term <> '')"
+    # The i-th match of a pattern begins where its string next occurs after the match before.
+    at = lambda pt, k, j: f"""SELECT doc_id, sentence_id, text, {j} AS pat, {q(k)} AS kind, list_reduce(list_concat([[{{'t': '', 'a': 0, 'z': 0}}]], list_transform(regexp_extract_all(text, {q(pt)}), lambda w: [{{'t': w, 'a': 0, 'z': 0}}])),
+        lambda x, y: list_append(x, {{'t': y[1].t, 'a': x[-1].z + strpos(substr(text, x[-1].z + 1), y[1].t) - 1, 'z': x[-1].z + strpos(substr(text, x[-1].z + 1), y[1].t) - 1 + length(y[1].t)}}))[2:] AS l FROM s"""
+    spots = f"sp0 AS ({' UNION ALL '.join(at(pt, k, j) for j, (pt, k) in enumerate(p.entity_patterns))}), sp1 AS (SELECT doc_id, sentence_id, pat, kind, unnest(l) AS u FROM sp0)"
+    greedy = """ls AS (SELECT doc_id, sentence_id, list([{{'t': t, 'a': a, 'z': z, 'k': k}}] ORDER BY {order}) AS l FROM wanted GROUP BY ALL),
+        gr AS (SELECT doc_id, sentence_id, list_reduce(l, lambda x, y: CASE WHEN len(list_filter(x, lambda v: v.a < y[1].z AND y[1].a < v.z)) = 0 THEN list_concat(x, y) ELSE x END) AS kept FROM ls),
+        un AS (SELECT doc_id, sentence_id, unnest(kept) AS u FROM gr)"""
+    num = lambda cols: f"('0x' || substr(md5(concat_ws('|', {cols})), 1, 15))::BIGINT"
+    syn = f"""{sents}, nn AS (SELECT greatest(count(*), 1) AS nn FROM s), rf0 AS (SELECT canonical AS term, entity_type FROM term_reference),
+        en AS (SELECT unnest(list_transform(['', {', '.join(q(m) for m in MODIFIERS if m)}], lambda m: m || term)) AS entity, entity_type FROM rf0),
+        sl0 AS (SELECT {num('doc_id, sentence_id::VARCHAR')} % nn AS slot, min({{'d': doc_id, 's': sentence_id}}) AS x FROM s, nn GROUP BY 1),
+        sy AS (SELECT x.d AS doc_id, x.s AS sentence_id, entity, entity_type FROM en, nn JOIN sl0 ON slot = {num('entity')} % nn)"""
+    follow = f"sf AS (SELECT *, lead(entity) OVER w AS tail, lead(entity_type) OVER w AS t_type FROM sy WINDOW w AS (PARTITION BY doc_id ORDER BY {num('entity')}, entity))"
+    named = "CASE " + " ".join(f"WHEN entity_type = {q(h)} AND t_type = {q(t)} THEN {q(r)}" for (h, t), r in TYPE_PAIRS.items()) + f" ELSE [{', '.join(map(q, OTHER_RELATIONS))}][{num('entity, tail')} % {len(OTHER_RELATIONS)} + 1] END"
+    odd = "CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[一-鿿]', '%', 'g') ELSE text END"
+    flag = lambda t: f"(SELECT *, {GARBLED} AS bad, {QUALITY} AS quality FROM (SELECT *, {garbled_columns('text')} FROM {t}))"
+    fence = lambda c: strip(rf"regexp_replace(regexp_replace({strip(c)}, '^```[A-Za-z]*\s*', ''), '\s*```$', '')")
+    cascade = f"""dc AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), od AS (SELECT doc_id, {odd} AS o, text FROM dc),
+        cs AS (SELECT doc_id, 0 AS ord, {page('o')} AS text FROM od UNION ALL SELECT doc_id, 1, {page("replace(o, ' ', '')")} FROM od UNION ALL SELECT doc_id, 2, {page('text')} FROM od WHERE doc_id % 4 = 0),
+        sc AS (SELECT * FROM {flag('cs')} WHERE text <> ''), qk AS (SELECT doc_id, arg_min(text, (-quality, ord)) AS text FROM sc WHERE ord < 2 GROUP BY 1), ev AS (SELECT doc_id, arg_min(text, (-quality, ord)) AS text FROM sc GROUP BY 1),
+        q0 AS (SELECT doc_id, coalesce(qk.text, '') AS text, coalesce(ev.text, '') AS every FROM dc LEFT JOIN qk USING (doc_id) LEFT JOIN ev USING (doc_id)),
+        q1 AS (SELECT doc_id, CASE WHEN bad THEN every ELSE text END AS text FROM {flag('q0')}),
+        rp AS (SELECT doc_id, {page(fence("'```text' || chr(10) || text || chr(10) || '```'"))} AS reply FROM dc WHERE doc_id % 3 = 0),
+        q2 AS (SELECT doc_id, CASE WHEN bad THEN coalesce(reply, '') ELSE text END AS text FROM {flag('q1')} LEFT JOIN rp USING (doc_id)),
+        q3 AS (SELECT doc_id, CASE WHEN bad THEN '' ELSE text END AS text FROM {flag('q2')})"""
     req = f"""{ment}, {pairs}, so AS (SELECT DISTINCT doc_id, sentence_id FROM pr WHERE head <> tail),
         fe AS (SELECT doc_id, sentence_id, entity, min({{'a': start_pos, 't': entity_type, 'x': text}}) AS x FROM m GROUP BY ALL),
         rq AS (SELECT doc_id, sentence_id, list({{'at': x.a, 'name': entity, 'type': x.t}} ORDER BY x.a, entity, x.t) AS e FROM fe JOIN so USING (doc_id, sentence_id) GROUP BY ALL)"""
@@ -245,6 +271,23 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         "ner_greedy": f"""WITH {sents}, {halves}, {occ('hv')}, ls AS (SELECT doc_id, sentence_id, list([{{'t': entity, 'a': start_pos, 'z': start_pos + length(entity)}}] ORDER BY length(entity) DESC, entity, start_pos) AS l FROM oc GROUP BY ALL),
             gr AS (SELECT doc_id, sentence_id, list_reduce(l, lambda x, y: CASE WHEN len(list_filter(x, lambda v: v.a < y[1].z AND y[1].a < v.z)) = 0 THEN list_concat(x, y) ELSE x END) AS k FROM ls),
             un AS (SELECT doc_id, sentence_id, unnest(k) AS u FROM gr) SELECT doc_id, sentence_id, u.t AS entity, u.a AS start_pos, u.z AS end_pos FROM un""",
+        "ner_with_rules": f"""WITH {sents}, {halves}, {occ('hv')}, {spots},
+            wanted AS (SELECT doc_id, sentence_id, entity AS t, start_pos AS a, start_pos + length(entity) AS z, 'dictionary' AS k, -1 AS pat FROM oc UNION ALL SELECT doc_id, sentence_id, u.t, u.a, u.z, 'rule', pat FROM sp1),
+            {greedy.format(order="pat, CASE WHEN pat < 0 THEN -length(t) ELSE 0 END, CASE WHEN pat < 0 THEN t ELSE '' END, a")} SELECT doc_id, sentence_id, u.t AS entity, u.a AS start_pos, u.z AS end_pos, u.k AS source FROM un""",
+        "rule_positions": f"""WITH {sents}, {spots}, wanted AS (SELECT doc_id, sentence_id, u.t AS t, u.a AS a, u.z AS z, kind AS k, pat FROM sp1),
+            {greedy.format(order="pat, a")} SELECT doc_id, sentence_id, u.t AS entity, u.k AS entity_type, u.a AS start_pos, u.z AS end_pos FROM un""",
+        "last_types": f"WITH {trm} SELECT term, arg_max(entity_type, term_id) AS entity_type FROM tr WHERE term IS NOT NULL AND term <> '' GROUP BY term",
+        "gold_entities": f"WITH {rel}, {gold} SELECT doc_id, sentence_id, entity, entity_type FROM m SEMI JOIN gs USING (doc_id, sentence_id)",
+        "synthetic_gold": f"WITH {syn} SELECT * FROM sy",
+        "synthetic_gold_relations": f"WITH {syn}, {follow} SELECT doc_id, sentence_id, entity AS head, {named} AS relation, tail FROM sf WHERE tail IS NOT NULL AND tail <> entity",
+        "page_cascade": f"WITH {cascade} SELECT doc_id, md5(text) AS digest, length(text) AS length FROM q3",
+        "recognition_replay": f"""WITH dc AS (SELECT doc_id, text AS whole, {odd} AS text FROM documents WHERE text IS NOT NULL), rp AS (SELECT doc_id, {fence("'```text' || chr(10) || whole || chr(10) || '```'")} AS reply FROM dc WHERE doc_id % 3 = 0)
+            SELECT doc_id, md5(CASE WHEN bad AND coalesce(reply, '') <> '' THEN reply ELSE text END) AS digest FROM {flag('dc')} LEFT JOIN rp USING (doc_id)""",
+        "glyph_repair": "SELECT DISTINCT canonical AS term, canonical || canonical AS text FROM term_reference",
+        "latex_sections": r"""SELECT ref_id, 0 AS pos, '\section{' || canonical || '}' || chr(10) || 'body' || chr(10) AS chapter FROM term_reference UNION ALL SELECT ref_id, 1, '\section{' || name_en || '} end' FROM term_reference""",
+        "jsonl_round_trip": "SELECT doc_id, title, file_name, topic FROM doc_meta",
+        "csv_round_trip": "SELECT doc_id, coalesce(title, '') AS title, coalesce(file_name, '') AS file_name, coalesce(topic, '') AS topic FROM doc_meta",
+        "graph_round_trip": f"WITH {kg} SELECT id, name FROM n UNION ALL SELECT source, target FROM e",
         "rule_entities": f"WITH {sents}, a AS ({rule_sql}) SELECT doc_id, sentence_id, entity, entity_type, count(*) AS n FROM a GROUP BY ALL",
         "entities_clean": f"""WITH {ment}, {ref} SELECT doc_id, sentence_id, entity, CASE WHEN rf.entity_type <> 'Concept' THEN rf.entity_type ELSE m.entity_type END AS entity_type, start_pos
             FROM m LEFT JOIN rf ON rf.term = entity WHERE entity NOT IN {listed(p.trigger_words)} AND length(entity) > 1 AND NOT regexp_full_match(entity, '[0-9]+\\.?[0-9]*')
