@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.store import scratch
+
 # Full-width forms U+FF01..U+FF5E and the ideographic space, by rule.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-_homes: set[str] = set()
 SPACES = r"(?U)\s+"
 
 
@@ -49,33 +47,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False, mos
     return df.repartition(cores) if size <= most_bytes else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where the session names none and all tasks run in
-    the driver's process (tests) a folder of its own is set."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jsc = spark.sparkContext._jsc.sc()
-        d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{os.getpid()}")
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder, in a folder of the application that is deleted when it ends."""
-    home = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
-    if home not in _homes:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
-        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(at)
-        files.deleteOnExit(at)
-        _homes.add(home)
-    return f"{home}/{what}-{uuid.uuid4().hex}"
-
-
 def shared_file(spark: SparkSession, what: str, data: bytes) -> str:
     """Write bytes to the shared folder and have every executor fetch them once; the name for ``SparkFiles.get``."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, what)}.bin")
