@@ -141,17 +141,20 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
     pairs = f"""pr AS (SELECT h.doc_id, h.sentence_id, h.text, h.entity AS head, h.entity_type AS head_type, h.start_pos AS h_start, h.end_pos AS h_end,
         t.entity AS tail, t.entity_type AS tail_type, t.start_pos AS t_start FROM m h JOIN m t ON h.doc_id = t.doc_id AND h.sentence_id = t.sentence_id
         AND row(h.start_pos, h.end_pos, h.entity) < row(t.start_pos, t.end_pos, t.entity) AND abs(t.start_pos - h.end_pos) <= {p.max_distance} AND length(h.text) >= {p.min_sentence})"""
-    raw = f"""{ment}, {pairs}, sp AS (SELECT *, CASE WHEN h_end <= t_start THEN substr(text, h_end + 1, t_start - h_end) ELSE substr(text, t_start + 1, h_end - t_start) END AS span FROM pr
+    raw_of = f"""{pairs}, sp AS (SELECT *, CASE WHEN h_end <= t_start THEN substr(text, h_end + 1, t_start - h_end) ELSE substr(text, t_start + 1, h_end - t_start) END AS span FROM pr
         WHERE head <> tail AND head NOT IN {listed(t for t, _ in p.triggers)} AND tail NOT IN {listed(t for t, _ in p.triggers)}),
         rl AS (SELECT *, {trig} AS relation FROM sp),
         raw AS (SELECT doc_id, sentence_id, head, relation, tail, x.a AS head_type, x.b AS tail_type, x.e AS evidence FROM (
             SELECT doc_id, sentence_id, head, relation, tail, min({{'h': h_start, 't': t_start, 'z': h_end, 'a': head_type, 'b': tail_type, 'e': text}}) AS x FROM rl WHERE relation IS NOT NULL GROUP BY ALL))"""
-    rel = f"{raw}, r AS (SELECT * FROM raw WHERE {ok})"
+    raw = f"{ment}, {raw_of}"
+    rel_of = f"{raw_of}, r AS (SELECT * FROM raw WHERE {ok})"
+    rel = f"{ment}, {rel_of}"
     eid = lambda c: f"regexp_replace({strip(c)}, '{W}+', '_', 'g')"
     nodes_of = lambda src: f"""SELECT id, x.name AS name, x.et AS entity_type, x.d AS source_doc FROM (SELECT {eid('entity')} AS id,
         min({{'d': doc_id, 's': sentence_id, 'a': start_pos, 'z': end_pos, 'name': entity, 'et': entity_type}}) AS x FROM {src} GROUP BY 1)"""
-    kg = f"""{rel}, n AS ({nodes_of('m')}), e AS (SELECT {eid('head')} AS source, relation, {eid('tail')} AS target, doc_id, sentence_id, min(evidence) AS evidence FROM r GROUP BY 1, 2, 3, 4, 5),
+    kg_of = f"""{rel_of}, n AS ({nodes_of('m')}), e AS (SELECT {eid('head')} AS source, relation, {eid('tail')} AS target, doc_id, sentence_id, min(evidence) AS evidence FROM r GROUP BY 1, 2, 3, 4, 5),
         dg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id)"""
+    kg = f"{ment}, {kg_of}"
     dist = lambda t, c: f"SELECT coalesce({c}, '') AS {c}, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {t} GROUP BY 1"
 
     def reach(k: int, budget: int = 1 << 40) -> str:
@@ -214,6 +217,18 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         rp AS (SELECT doc_id, {page(fence("'```text' || chr(10) || text || chr(10) || '```'"))} AS reply FROM dc WHERE doc_id % 3 = 0),
         q2 AS (SELECT doc_id, CASE WHEN bad THEN coalesce(reply, '') ELSE text END AS text FROM {flag('q1')} LEFT JOIN rp USING (doc_id)),
         q3 AS (SELECT doc_id, CASE WHEN bad THEN '' ELSE text END AS text FROM {flag('q2')})"""
+    number = r"regexp_full_match(entity, '[0-9]+\.?[0-9]*')"
+    own_graph = f"""dict AS MATERIALIZED (WITH {raw_tfidf}, {grams('tok')}, {pmi},
+            sr AS (SELECT cnd.term, freq, round(0.6::DOUBLE * freq + 0.3::DOUBLE * coalesce(tfidf, 0) + 0.1::DOUBLE * greatest(coalesce(pmi, 0), 0), 6) AS score, {first_rule('cnd.term', p.type_rules, p.default_type)} AS kind
+                FROM cnd LEFT JOIN w ON w.term = cnd.term LEFT JOIN pm ON pm.term = cnd.term)
+            SELECT term, CASE WHEN kind = 'Concept' THEN {fine} ELSE kind END AS entity_type FROM sr WHERE {reason} IS NULL ORDER BY score DESC, freq DESC, term LIMIT {p.max_terms}),
+        {doc_sents}, s AS (SELECT doc_id, sentence_id, text FROM ds), {occ('dict')}, {spots},
+        wanted AS (SELECT doc_id, sentence_id, entity AS t, start_pos AS a, start_pos + length(entity) AS z, dict.entity_type AS k, -1 AS pat FROM oc JOIN dict ON term = entity
+            UNION ALL SELECT doc_id, sentence_id, u.t, u.a, u.z, kind, pat FROM sp1),
+        {greedy.format(order="pat, CASE WHEN pat < 0 THEN -length(t) ELSE 0 END, CASE WHEN pat < 0 THEN t ELSE '' END, a")},
+        mn AS (SELECT doc_id, sentence_id, u.t AS entity, u.k AS entity_type, u.a AS start_pos, u.z AS end_pos FROM un),
+        m AS (SELECT mn.*, s.text FROM mn JOIN s USING (doc_id, sentence_id) WHERE entity NOT IN {listed(p.trigger_words)} AND length(entity) > 1 AND NOT {number} AND regexp_matches(entity, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')
+            QUALIFY row_number() OVER (PARTITION BY doc_id, sentence_id, entity ORDER BY start_pos, end_pos) = 1), {kg_of}"""
     req = f"""{ment}, {pairs}, so AS (SELECT DISTINCT doc_id, sentence_id FROM pr WHERE head <> tail),
         fe AS (SELECT doc_id, sentence_id, entity, min({{'a': start_pos, 't': entity_type, 'x': text}}) AS x FROM m GROUP BY ALL),
         rq AS (SELECT doc_id, sentence_id, list({{'at': x.a, 'name': entity, 'type': x.t}} ORDER BY x.a, entity, x.t) AS e FROM fe JOIN so USING (doc_id, sentence_id) GROUP BY ALL)"""
@@ -325,6 +340,8 @@ def oracles(p: Profile, hub: str, pmi_cap: int, top: int, allowed: tuple[str, ..
         "search_menu": f"WITH {kg} SELECT id, name, entity_type FROM n WHERE contains(lower(name), '模型') ORDER BY length(name), id LIMIT 20",
         "legend_order": f"""WITH {kg}, k AS (SELECT coalesce(entity_type, 'Concept') AS entity_type, count(*) AS n FROM n GROUP BY 1)
             SELECT entity_type, n, row_number() OVER (ORDER BY n DESC, entity_type)::INT AS place, {color('entity_type')} AS color FROM k""",
+        "graph_from_documents": f"""WITH {own_graph}, {best}, z AS (SELECT *, greatest(6.0::DOUBLE, least(26.0::DOUBLE, 6 + sqrt(degree) * 1.8::DOUBLE)) AS size FROM o)
+            SELECT id, name, entity_type, degree, round(size, 4) AS symbol_size, size > 12 AS labelled, {color('entity_type')} AS color FROM z""",
         "overview_topn": f"""WITH {kg}, {best},
             z AS (SELECT *, greatest(6.0::DOUBLE, least(26.0::DOUBLE, 6 + sqrt(degree) * 1.8::DOUBLE)) AS size FROM o)
             SELECT id, name, entity_type, degree, round(size, 4) AS symbol_size, size > 12 AS labelled, {color('entity_type')} AS color FROM z""",
