@@ -58,9 +58,10 @@ def shared_file(spark: SparkSession, what: str, data: bytes) -> str:
     return at.getName()
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, block: int = 128 << 20) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. ``block``: bytes of a
+    row group, which each writing and reading task holds."""
+    df.write.mode("overwrite").option("parquet.block.size", block).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

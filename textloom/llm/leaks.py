@@ -278,9 +278,9 @@ def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float
         items: Items = sent.value
         n_terms, n_items = len(items.vocabulary), len(items.ids)
         most, count = np.array([len(t) for t in items.terms]), np.zeros(n_terms, np.int64)
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             every = batch.column(1).to_pylist()
-            for i, j in pieces(every):
+            for i, j in pieces(every, chars=500_000):
                 rows = np.array([n for n in range(i, j) if every[n]], np.int64)
                 f, starts = folded([every[n] for n in rows], items.table)
                 if not len(f):
@@ -315,7 +315,7 @@ def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, f"d {kind}, {HITS}")
 
 
-def _batches(parts: Iterator[pa.RecordBatch], hits: int = 400_000) -> Iterator[tuple]:
+def _batches(parts: Iterator[pa.RecordBatch], hits: int = 150_000) -> Iterator[tuple]:
     """Of runs of documents: the batch's rows a to z, places and terms of all one after the other, and where each
     document begins and ends among the places. The last two columns are at and term."""
     for p in parts:
@@ -536,7 +536,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         if not index.ids and not index.tiny:
             continue
         sent = spark.sparkContext.broadcast(index)
-        hits = stored(item_hits(docs, id_col, text_col, sent, doubtful), scratch(spark, "hits"))
+        hits = stored(item_hits(docs, id_col, text_col, sent, doubtful), scratch(spark, "hits"), block=16 << 20)
         count = np.zeros(len(index.vocabulary), np.int64)
         for r in hits.where("what = 'count'").select(F.explode(F.arrays_zip("term", "at")).alias("x")).groupBy("x.term").agg(F.sum("x.at").alias("n")).collect():
             count[r["term"]] = r["n"]

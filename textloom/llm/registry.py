@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.aliases import map_names
-from textloom.llm.common import scratch, sql_fold_width, stored, table
+from textloom.llm.common import scratch, sql_fold_width, table
 from textloom.llm.copies import DASHES, collapse_copies
 from textloom.llm.encodings import find_damage
 from textloom.llm.leaks import find_leaks
