@@ -155,7 +155,7 @@ class Items:
         self.owned = np.searchsorted(pairs >> 32, np.arange(len(self.vocabulary) + 1))
         self._masks: dict[int, dict[int, int]] = {}
         self._words: dict[int, tuple] = {}
-        self._own: dict[int, np.ndarray] = {}
+        self._own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @property
     def table(self) -> np.ndarray:
@@ -200,10 +200,18 @@ class Items:
 
     def has(self, k: int) -> np.ndarray:
         """The numbers of item k's terms, in order."""
+        return self._counted(k)[0]
+
+    def _counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self._own:
-            self._own[k] = np.unique(self.terms[k])
+            self._own[k] = np.unique(self.terms[k], return_counts=True)
         return self._own[k]
 
+    def at_most(self, k: int, seq: np.ndarray) -> int:
+        """A bound of the common subsequence of item k and a sequence of its terms: its places that have one of them."""
+        own, times = self._counted(k)
+        return int(times[np.searchsorted(own, _distinct(seq))].sum())
+
     def common(self, k: int, seq: np.ndarray) -> int:
         """Length of the longest common subsequence of item k's terms and a sequence of terms (bit-parallel)."""
         masks = self._masks.get(k)
@@ -255,6 +263,12 @@ def windows(starts: np.ndarray, ends: np.ndarray, size: int, step: int) -> tuple
     return doc, a, np.minimum(a + size, ends[doc])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order; by sorting, which is faster here than by hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Sum of rows[lo:hi] for each pair."""
     if not len(rows):
@@ -290,7 +304,7 @@ def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float
                 at = np.flatnonzero(term >= 0)
                 doc, term = np.searchsorted(starts, at, "right") - 1, term[at]
                 if len(at):
-                    pair = np.unique(doc * n_terms + term)  # each term once a document
+                    pair = _distinct(doc * n_terms + term)  # each term once a document
                     d, t = np.divmod(pair, n_terms)
                     count += np.bincount(t, minlength=n_terms)
                     n, place = items.posting(t)
@@ -348,7 +362,7 @@ def sketch(hits: DataFrame, sent, spans: np.ndarray, dims: int, seed: int = 11,
             n += len(a)
             at, term = at[spans[term]], term[spans[term]]
             w = np.searchsorted(a, at, "right") - 1
-            key = np.unique(w.astype(np.int64) * n_terms + term)  # each term once a passage
+            key = _distinct(w.astype(np.int64) * n_terms + term)  # each term once a passage
             w, term = key // n_terms, key % n_terms
             lo = np.searchsorted(w, np.arange(len(a)))
             y = _sums(r[term], lo, np.append(lo[1:], len(w)))
@@ -409,7 +423,7 @@ def decompose(hits: DataFrame, sent, spans: np.ndarray, df: np.ndarray, g: np.nd
             _, a, _ = windows(starts, ends, size, size)
             at, term = at[spans[term]], term[spans[term]]
             w = np.searchsorted(a, at, "right") - 1
-            key = np.unique(w.astype(np.int64) * n_terms + term)
+            key = _distinct(w.astype(np.int64) * n_terms + term)
             lo = np.searchsorted(key // n_terms, np.arange(len(a)))
             y = _sums(qs[key % n_terms], lo, np.append(lo[1:], len(key))).astype(np.float64)
             total += y.T @ y
@@ -431,15 +445,17 @@ def _best(items: Items, k: int, seq: np.ndarray, reach: np.ndarray, need: float,
     A start adds no terms but those its stretch reaches further, so starts that can't make up for what lacks are skipped."""
     held = reach - np.arange(len(reach))
     s = int(held.argmax())
-    best = items.common(k, seq[s : reach[s]])
+    best = items.common(k, seq[s : reach[s]]) if items.at_most(k, seq[s : reach[s]]) >= least else 0
     s = 0
     while best < need and s < len(seq):
         aim = need if best >= least else least
         if held[s] < aim:
             s += int(np.argmax(held[s:] >= aim)) or len(seq)
             continue
-        got = items.common(k, seq[s : reach[s]])
-        best = max(best, got)
+        got = items.at_most(k, seq[s : reach[s]])  # no fewer than the common ones
+        if got >= aim:
+            got = items.common(k, seq[s : reach[s]])
+            best = max(best, got)
         aim = need if best >= least else least
         s = max(s + 1, int(np.searchsorted(reach, reach[s] + math.ceil(aim - got))))
     return best
@@ -465,13 +481,13 @@ def search(hits: DataFrame, sent, space, kind: str, item_kind: str, item_type, s
                 v = _sums(weights[term_l[b0:b1]], lo[pick] - b0, hi[pick] - b0)
                 v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
                 w, c = np.nonzero(v @ qs.T >= cosine)
-                pairs.append(np.unique(doc[pick[w]].astype(np.int64) << 32 | own[c]))
+                pairs.append(_distinct(doc[pick[w]].astype(np.int64) << 32 | own[c]))
             bounds, of, read = np.searchsorted(at, np.stack([starts, ends])), -1, (-1, None)
-            for pair in np.unique(np.concatenate([np.zeros(0, np.int64), *pairs])).tolist():
+            for pair in _distinct(np.concatenate([np.zeros(0, np.int64), *pairs])).tolist():
                 d, k = pair >> 32, pair & 0xFFFFFFFF
                 x0, x1 = bounds[:, d]
                 if of != d:
-                    of, held, text = d, it.held(np.unique(term[x0:x1])), texts[row + d].as_py()
+                    of, held, text = d, it.held(_distinct(term[x0:x1])), texts[row + d].as_py()
                 need, n = share * need_of[k], int(need_of[k])
                 least = need if text is None else doubtful * n
                 if held[k] < least:

@@ -89,7 +89,15 @@ class TermLedger:
         version, grown = version + 1, buckets
         while largest > self.bucket_rows:
             grown, largest = 4 * grown, largest // 4
-        touched = lambda kind, df: None if grown != buckets else {r.b for r in df.select(self._bucket(kind, buckets).alias("b")).distinct().collect()}
+        anew = grown != buckets or not live  # all buckets are written
+
+        def touched(df: DataFrame, *kinds: str) -> list[set[int] | None]:
+            if anew:
+                return [None] * len(kinds)
+            both = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), self._bucket(k, buckets).alias("b")) for k in kinds])).alias("x")
+            got = [(r.k, r.b) for r in df.select(both).select("x.*").distinct().collect()]
+            return [{b for k, b in got if k == kind} for kind in kinds]
+
         ids = self.spark.createDataFrame([], "term_id long")
         new = self.spark.createDataFrame([], ROWS)
         if records is not None:
@@ -97,13 +105,13 @@ class TermLedger:
         if deleted is not None:
             gone = deleted.select(F.col("term_id").cast("long")).distinct()
             new, ids = new.join(gone, "term_id", "left_anti"), ids.union(gone).distinct()
-        touched_r = touched("rows", ids)
+        (touched_r,) = touched(ids, "rows")
         before = self._read("rows", live, touched_r)
         signed = (before.join(ids, "term_id", "left_semi").withColumn("sign", F.lit(-1).cast("long"))
                   .unionByName(new.withColumn("sign", F.lit(1).cast("long"))))
         delta = signed.groupBy("term", "doc_id").agg(F.sum(F.col("sign") * F.col("freq")).alias("occ"), F.sum("sign").alias("n_rows")).where("occ <> 0 or n_rows <> 0")
         delta = stored(delta, f"{self.path}/delta/v{version}")
-        touched_p, touched_c = touched("pairs", delta), touched("counts", delta)
+        touched_p, touched_c = touched(delta, "pairs", "counts")
         zero = F.lit(0).cast("long")
         both = (
             self._read("pairs", live, touched_p).select("term", "doc_id", "occ", "n_rows", zero.alias("o"), zero.alias("r"))
@@ -129,12 +137,14 @@ class TermLedger:
          .partitionBy("bucket").parquet(f"{self.path}/{kind}/v{version}"))
 
     def _commit(self, version: int, buckets: int, touched: dict[str, set[int] | None]) -> None:
-        out = []
+        sizes, out = None, []
         for kind in self.KEYS:
-            at = self.spark.read.schema(self.SCHEMAS[kind] + ", bucket int").parquet(f"{self.path}/{kind}/v{version}")
-            size = {r["bucket"]: r["count"] for r in at.groupBy("bucket").count().collect()}
-            for b in range(buckets) if touched[kind] is None else touched[kind] | set(size):
-                out.append((kind, b, version, b in size, buckets, size.get(b, 0)))
+            at = self.spark.read.schema(self.SCHEMAS[kind] + ", bucket int").parquet(f"{self.path}/{kind}/v{version}").select(F.lit(kind).alias("kind"), "bucket")
+            sizes = at if sizes is None else sizes.union(at)
+        size = {(r["kind"], r["bucket"]): r["count"] for r in sizes.groupBy("kind", "bucket").count().collect()}
+        for kind, some in touched.items():
+            for b in range(buckets) if some is None else some | {b for k, b in size if k == kind}:
+                out.append((kind, b, version, (kind, b) in size, buckets, size.get((kind, b), 0)))
         if out:
             self.spark.createDataFrame(out, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
