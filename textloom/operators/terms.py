@@ -127,13 +127,14 @@ def pmi(docs: DataFrame, candidates: DataFrame, cap: int, text_col: str = "text"
     ``candidates`` (term, freq) is cut to the ``cap`` first by frequency, length and term; C is the
     number of characters of all texts joined by line ends. Terms that don't occur have no score.
     """
-    spark = docs.sparkSession
-    terms = [r["term"] for r in candidates.where(F.length("term") > 1).orderBy(F.col("freq").desc(), F.length("term").desc(), "term").limit(cap).collect()]
-    needles = {x for t in terms for x in [t, *(t[:i] for i in range(1, len(t))), *(t[i:] for i in range(1, len(t)))]}
-    counts = needle_counts(docs, sorted(needles), text_col)
+    top = candidates.where(F.length("term") > 1).orderBy(F.col("freq").desc(), F.length("term").desc(), "term").limit(cap).select("term")
+    at = F.explode(F.sequence(F.lit(1), F.length("term") - 1)).alias("i")
+    cuts = stored(top.select("term", at).select("term", F.expr("substring(term, 1, i)").alias("l"), F.expr("substring(term, i + 1)").alias("r")), "cuts")
+    needles = cuts.select(F.explode(F.array("term", "l", "r")).alias("x")).distinct().toArrow()["x"].to_pylist()
+    counts = stored(needle_counts(docs, needles, text_col), "needles")
     size = docs.agg(F.sum(F.length(F.coalesce(F.col(text_col), F.lit("")))) + F.count(F.lit(1)) - 1).first()[0] or 0
-    cuts = spark.createDataFrame([(t, t[:i], t[i:]) for t in terms for i in range(1, len(t))] or [("", "", "")], "term string, l string, r string").where("term <> ''")
-    n = lambda k: counts.select(F.col("needle").alias(k), F.col("n").alias(f"n_{k}"))
+    few = F.broadcast if len(needles) <= 1_000_000 else (lambda df: df)
+    n = lambda k: few(counts.select(F.col("needle").alias(k), F.col("n").alias(f"n_{k}")))
     got = cuts.join(n("term"), "term").join(n("l"), "l", "left").join(n("r"), "r", "left")
     many = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(1)).cast("double")
     return got.groupBy("term").agg(F.min(F.log2(F.col("n_term") * F.lit(float(size)) / (many("n_l") * many("n_r")))).alias("pmi"))

@@ -16,6 +16,7 @@ from textloom.operators import relations as R
 from textloom.operators import terms as T
 from textloom.profile import ZH, Profile
 from textloom.sources import io
+from textloom.sources.store import stored
 
 STAGES = ("preprocess", "terms", "finalize", "extract", "relation", "kg")
 
@@ -32,8 +33,8 @@ def finalized(raw: DataFrame, p: Profile, k: int, replies: DataFrame | None = No
 
 
 def graph(sentences: DataFrame, terms: DataFrame, p: Profile, canonical: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from sentences and a dictionary by rules."""
-    clean = N.clean_mentions(N.find_mentions(sentences, terms, p), p)
+    """Nodes and edges from sentences and a dictionary by rules; the mentions, which both need, are stored."""
+    clean = stored(N.clean_mentions(N.find_mentions(sentences, terms, p), p), "mentions")
     return G.nodes(clean, canonical), G.edges(R.clean_relations(R.raw_relations(clean, p), p))
 
 
