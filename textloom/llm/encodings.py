@@ -139,7 +139,7 @@ class PairModel:
         self.rare = max(-13.0, float(self.floor) + 1.5)  # in a small collection only what it has once, or never
         self.score = np.full(1 << log_slots, self.floor, np.float32)
         self.tag = np.zeros(1 << log_slots, np.uint16)
-        order = np.argsort(n, kind="stable")  # of two pairs in one slot the usual one stays
+        order = np.lexsort((pair, n))  # of two pairs in one slot the usual one stays
         slot, tag = self._place(pair[order])
         self.score[slot] = np.log(n[order] / self.total)
         self.tag[slot] = tag
