@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -68,26 +69,27 @@ def grams(f: np.ndarray) -> np.ndarray:
     han = (f >= 0x3005) & (f <= 0x9FFF)
     x = f.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
-
-    def roll(k: int) -> np.ndarray:
-        h = np.zeros(len(f), np.uint64)
-        n = len(f) - k + 1
-        if n <= 0:
-            return h
-        for i in range(k):
-            h[:n] = (h[:n] + x[i : i + n]) * np.uint64(0xD6E8FEB86659FD93)
-        return h
-
-    short, long = roll(HAN_GRAM), roll(OTHER_GRAM)
-    h = np.where(han, short, long)
-    h = ((h ^ (h >> np.uint64(29))) >> np.uint64(2)).astype(np.int64)
-    span = np.where(han, HAN_GRAM, OTHER_GRAM)
+    h = np.zeros(len(f), np.uint64)
+    for i in range(min(OTHER_GRAM, len(f))):
+        if i == HAN_GRAM:
+            short = h.copy()
+        now = h[: len(f) - i]
+        now += x[i:]
+        now *= np.uint64(0xD6E8FEB86659FD93)
+    if len(f) > HAN_GRAM:
+        np.copyto(h, short, where=han)
+    h ^= h >> np.uint64(29)
+    h >>= np.uint64(2)
+    h = h.view(np.int64)
     sep = np.flatnonzero(f == 0x1E)
     if len(sep):
-        nxt = sep[np.minimum(np.searchsorted(sep, np.arange(len(f))), len(sep) - 1)]
-        h[np.arange(len(f)) + span > nxt] = -1
+        h[sep[-1] :] = -1
     else:
-        h[np.arange(len(f)) + span > len(f)] = -1
+        sep = np.array([len(f)])
+    end = np.repeat(sep, OTHER_GRAM)
+    near = end - np.tile(np.arange(OTHER_GRAM), len(sep))
+    end, near = end[ok := (near >= 0) & (near < len(f))], near[ok]
+    h[near[near + np.where(han[near], HAN_GRAM, OTHER_GRAM) > end]] = -1
     return h
 
 
@@ -149,8 +151,8 @@ class Items:
             todo = todo[self.slot[t][s] != todo]
         self.rest = {int(self.vocabulary[i]): int(i) for i in todo}
         self.passages = [(k, t[a : a + block]) for k, t in enumerate(self.terms) for a in range(0, max(1, len(t) - block // 3), block)]
-        # Which items have each term and how often, as one list with its bounds by term.
-        pairs, self.times = np.unique(np.concatenate([np.zeros(0, np.int64), *[(t.astype(np.int64) << 32) | k for k, t in enumerate(self.terms)]]), return_counts=True)
+        # Which items have each term, once for each place, as one list with its bounds by term.
+        pairs = np.sort(np.concatenate([np.zeros(0, np.int64), *[(t.astype(np.int64) << 32) | k for k, t in enumerate(self.terms)]]))
         self.owner = (pairs & 0xFFFFFFFF).astype(np.int32)
         self.owned = np.searchsorted(pairs >> 32, np.arange(len(self.vocabulary) + 1))
         self._masks: dict[int, dict[int, int]] = {}
@@ -172,34 +174,51 @@ class Items:
         return out
 
     def _place(self, h: np.ndarray, t: int) -> np.ndarray:
-        y = h.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F if t == 0 else 0x165667B19E3779F9)
-        return (y >> np.uint64(64 - self.log_slots)).astype(np.int64)
+        y = h.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F if t == 0 else 0x165667B19E3779F9)
+        y >>= np.uint64(64 - self.log_slots)
+        return y.view(np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each term, -1 for terms of no item."""
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where terms of items stand among terms, and the numbers of these. A term that isn't in the first table lost its
+        place there to another one, so an empty place means no item's term."""
         if not len(self.vocabulary):
-            return np.full(len(h), -1, np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         a = self.slot[0][self._place(h, 0)]
-        out = np.where((a >= 0) & (self.vocabulary[a] == h), a, -1)
-        miss = np.flatnonzero(out < 0)
-        b = self.slot[1][self._place(h[miss], 1)]
-        out[miss] = np.where((b >= 0) & (self.vocabulary[b] == h[miss]), b, -1)
+        at = np.flatnonzero(a >= 0)
+        term, h = a[at], h[at]
+        other = np.flatnonzero(self.vocabulary[term] != h)
+        h = h[other]
+        b = self.slot[1][self._place(h, 1)]
+        b[self.vocabulary[b] != h] = -1
         for value, i in self.rest.items():
-            out[h == value] = i
-        return out.astype(np.int32)
+            b[h == value] = i
+        term[other] = b
+        some = term >= 0
+        return at[some], term[some]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each term, -1 for terms of no item."""
+        out = np.full(len(h), -1, np.int32)
+        at, term = self.places(h)
+        out[at] = term
+        return out
+
+    @property
+    def number(self) -> np.dtype:
+        """The type of a stored term's number."""
+        return np.dtype(np.uint16 if len(self.vocabulary) <= 1 << 16 else np.int32)
 
     def held(self, term: np.ndarray) -> np.ndarray:
         """How many places of each item have one of these (different) terms: no common subsequence is longer."""
-        _, at = self.posting(term)
-        return np.bincount(self.owner[at], self.times[at], len(self.ids))
+        return np.bincount(self.owner[self.posting(term)[1]], minlength=len(self.ids))
 
     def posting(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many items have each term, and where these stand in the list of owners."""
+        """How many places of items have each term, and where their owners stand in the list of owners."""
         n = self.owned[term + 1] - self.owned[term]
         return n, np.repeat(self.owned[term] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
     def has(self, k: int) -> np.ndarray:
-        """The numbers of item k's terms, in order."""
+        """The numbers of item k's different terms, in order."""
         return self._counted(k)[0]
 
     def _counted(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +229,9 @@ class Items:
     def at_most(self, k: int, seq: np.ndarray) -> int:
         """A bound of the common subsequence of item k and a sequence of its terms: its places that have one of them."""
         own, times = self._counted(k)
-        return int(times[np.searchsorted(own, _distinct(seq))].sum())
+        there = np.zeros(len(own), bool)
+        there[np.searchsorted(own, seq)] = True
+        return int(times[there].sum())
 
     def common(self, k: int, seq: np.ndarray) -> int:
         """Length of the longest common subsequence of item k's terms and a sequence of terms (bit-parallel)."""
@@ -220,10 +241,9 @@ class Items:
             for i, t in enumerate(self.terms[k].tolist()):
                 masks[t] = masks.get(t, 0) | (1 << i)
             self._masks[k] = masks
-        full = (1 << len(self.terms[k])) - 1
-        v = full
-        for t in seq.tolist():
-            u = v & masks.get(t, 0)
+        v = full = (1 << len(self.terms[k])) - 1
+        for m in map(masks.get, seq.tolist(), repeat(0)):
+            u = v & m
             if u:
                 v = ((v + u) | (v - u)) & full
         return len(self.terms[k]) - v.bit_count()
@@ -278,15 +298,31 @@ def _sums(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return total
 
 
-HITS, NAMES = "what string, at array<int>, term array<int>, text string", ["d", "what", "at", "term", "text"]
+HITS, NAMES = "what string, number array<int>, times array<int>, text string, at binary, term binary", ["d", "what", "number", "times", "text", "at", "term"]
+
+
+def _packed(x: np.ndarray, first: np.ndarray) -> pa.Array:
+    """An array, cut before each of ``first``, as the bytes of its pieces: lists of numbers pass through Spark number by
+    number, bytes as they are."""
+    cut = (np.append(first, len(x)) * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cut), pa.py_buffer(x)])
+
+
+def _unpacked(c: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all pieces, and where each begins and the last ends."""
+    _, cut, data = c.buffers()
+    cut = np.frombuffer(cut, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    return np.frombuffer(data, kind, int(cut[-1] - cut[0]) // kind.itemsize, int(cut[0])), (cut - cut[0]) // kind.itemsize
 
 
 def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float) -> DataFrame:
-    """d, what, at, term, text. A row ``hits`` has a document's places (among its letters) at which a term of an item
-    begins, of the documents that have any; ``text`` goes with those that have terms of ``doubtful`` of some item's
-    places, for the check of words. A row ``tiny`` has the numbers of tiny items that stand in the document whole. A row
-    ``count``, one a task, has how many documents (at) have each term."""
+    """d, what, number, times, text, at, term. A row ``hits`` has a document's places (among its letters, each as the
+    distance from the one before) at which a term of an item begins and the terms' numbers, both as bytes, of the documents
+    that have any; ``text`` goes with those that have terms of ``doubtful`` of some item's places, for the check of words.
+    A row ``tiny`` has the numbers of tiny items that stand in the document whole. A row ``count``, one a task, has how
+    many documents (times) have each term (number)."""
     kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    ints, no_hits = pa.list_(pa.int32()), [pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
@@ -299,50 +335,50 @@ def item_hits(docs: DataFrame, id_col: str, text_col: str, sent, doubtful: float
                 f, starts = folded([every[n] for n in rows], items.table)
                 if not len(f):
                     continue
-                term = items.find(grams(f))
                 ends = np.concatenate([starts[1:] - 1, [len(f) - 1]])
-                at = np.flatnonzero(term >= 0)
-                doc, term = np.searchsorted(starts, at, "right") - 1, term[at]
+                at, term = items.places(grams(f))
                 if len(at):
-                    pair = _distinct(doc * n_terms + term)  # each term once a document
-                    d, t = np.divmod(pair, n_terms)
+                    cut = np.searchsorted(at, np.append(starts, len(f)))
+                    size = np.diff(cut)
+                    pair = _distinct(np.repeat(np.arange(len(rows)), size) << 32 | term)  # each term once a document
+                    d, t = pair >> 32, pair & 0xFFFFFFFF
                     count += np.bincount(t, minlength=n_terms)
                     n, place = items.posting(t)
-                    held = np.bincount(np.repeat(d, n) * n_items + items.owner[place], items.times[place], len(rows) * n_items).reshape(len(rows), n_items)
+                    held = np.bincount(np.repeat(d * n_items, n) + items.owner[place], minlength=len(rows) * n_items).reshape(len(rows), n_items)
                     carry = (held >= doubtful * most).any(1)
-                    some, first = np.unique(doc, return_index=True)
-                    lists = pa.array(np.append(first, len(at)).astype(np.int32))
+                    some = np.flatnonzero(size)
+                    first, gap = cut[some], np.diff(at, prepend=0)
+                    gap[first] = at[first] - starts[some]
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(rows[some])), pa.array(["hits"] * len(some)), pa.ListArray.from_arrays(lists, pa.array((at - starts[doc]).astype(np.int32))),
-                        pa.ListArray.from_arrays(lists, pa.array(term.astype(np.int32))), pa.array([every[rows[x]] if carry[x] else None for x in some.tolist()], pa.string())], NAMES)
+                        batch.column(0).take(pa.array(rows[some])), pa.array(["hits"] * len(some)), pa.nulls(len(some), ints), pa.nulls(len(some), ints),
+                        pa.array([every[rows[x]] if carry[x] else None for x in some.tolist()], pa.string()), _packed(gap.astype(np.int32), first), _packed(term.astype(items.number), first)], NAMES)
                 if items.tiny:
                     for n, a, z in zip(rows.tolist(), starts, ends, strict=True):
                         letters = f[a:z].astype("<u4").tobytes().decode("utf-32-le", "replace")
                         found = [m for m, (_, w) in enumerate(items.tiny) if w in letters]
                         if found:
-                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array(["tiny"]), pa.array([[]], pa.list_(pa.int32())),
-                                                              pa.array([found], pa.list_(pa.int32())), pa.array([None], pa.string())], NAMES)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(n, 1), pa.array(["tiny"]), pa.array([found], ints), pa.nulls(1, ints), *no_hits], NAMES)
         seen = np.flatnonzero(count).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array(["count"]), pa.array([count[seen].astype(np.int32)], pa.list_(pa.int32())),
-                                          pa.array([seen], pa.list_(pa.int32())), pa.array([None], pa.string())], NAMES)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array(["count"]), pa.array([seen], ints), pa.array([count[seen].astype(np.int32)], ints), *no_hits], NAMES)
 
     return docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null").mapInArrow(run, f"d {kind}, {HITS}")
 
 
-def _batches(parts: Iterator[pa.RecordBatch], hits: int = 150_000) -> Iterator[tuple]:
+def _batches(parts: Iterator[pa.RecordBatch], number: np.dtype, hits: int = 150_000) -> Iterator[tuple]:
     """Of runs of documents: the batch's rows a to z, places and terms of all one after the other, and where each
-    document begins and ends among the places. The last two columns are at and term."""
+    document begins and ends among the places. The last two columns are at and term, none of them empty."""
     for p in parts:
-        at, term = p.column(p.num_columns - 2), p.column(p.num_columns - 1)
-        cut = at.offsets.to_numpy().astype(np.int64)
-        all_at, all_term, cut = at.values.to_numpy()[cut[0] : cut[-1]].astype(np.int64), term.values.to_numpy()[term.offsets[0].as_py() : term.offsets[-1].as_py()], cut - cut[0]
+        if not p.num_rows:
+            continue
+        (gap, cut), (term, _) = _unpacked(p.column(p.num_columns - 2), np.dtype(np.int32)), _unpacked(p.column(p.num_columns - 1), number)
         a = 0
         while a < p.num_rows:
             z = max(a + 1, int(np.searchsorted(cut, cut[a] + hits, "right")) - 1)
-            lo, hi = cut[a:z], cut[a + 1 : z + 1]
-            size = np.where(hi > lo, all_at[np.maximum(hi - 1, 0)] + 1, 0) if len(all_at) else np.zeros(z - a, np.int64)
-            starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-            yield p, a, z, all_at[cut[a] : cut[z]] + np.repeat(starts, hi - lo), all_term[cut[a] : cut[z]], starts, starts + size
+            first, at = cut[a:z] - cut[a], gap[cut[a] : cut[z]].astype(np.int64)
+            into = at[first]
+            at[first[1:]] += 2  # a document begins two places after the last of the one before
+            at = np.cumsum(at)
+            yield p, a, z, at, term[cut[a] : cut[z]].astype(np.int64), at[first] - into, at[np.append(first[1:], len(at)) - 1] + 1
             a = z
 
 
@@ -357,13 +393,13 @@ def sketch(hits: DataFrame, sent, spans: np.ndarray, dims: int, seed: int = 11,
         r = np.random.default_rng(seed).standard_normal((n_terms, dims)).astype(np.float32)
         df, g, n = np.zeros(n_terms + width, np.int64), np.zeros((n_terms + width, dims), np.float32), 0
         size = 2 * items.block
-        for _, _, _, at, term, starts, ends in _batches(parts):
+        for _, _, _, at, term, starts, ends in _batches(parts, items.number):
             _, a, z = windows(starts, ends, size, size)
             n += len(a)
             at, term = at[spans[term]], term[spans[term]]
             w = np.searchsorted(a, at, "right") - 1
-            key = _distinct(w.astype(np.int64) * n_terms + term)  # each term once a passage
-            w, term = key // n_terms, key % n_terms
+            key = _distinct(w << 32 | term)  # each term once a passage
+            w, term = key >> 32, key & 0xFFFFFFFF
             lo = np.searchsorted(w, np.arange(len(a)))
             y = _sums(r[term], lo, np.append(lo[1:], len(w)))
             order = np.argsort(term, kind="stable")
@@ -417,15 +453,15 @@ def decompose(hits: DataFrame, sent, spans: np.ndarray, df: np.ndarray, g: np.nd
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = sent.value
         qs = basis.value
-        size, n_terms = 2 * items.block, len(items.vocabulary)
+        size = 2 * items.block
         total = np.zeros((qs.shape[1],) * 2)
-        for _, _, _, at, term, starts, ends in _batches(parts):
+        for _, _, _, at, term, starts, ends in _batches(parts, items.number):
             _, a, _ = windows(starts, ends, size, size)
             at, term = at[spans[term]], term[spans[term]]
             w = np.searchsorted(a, at, "right") - 1
-            key = _distinct(w.astype(np.int64) * n_terms + term)
-            lo = np.searchsorted(key // n_terms, np.arange(len(a)))
-            y = _sums(qs[key % n_terms], lo, np.append(lo[1:], len(key))).astype(np.float64)
+            key = _distinct(w << 32 | term)
+            lo = np.searchsorted(key >> 32, np.arange(len(a)))
+            y = _sums(qs[key & 0xFFFFFFFF], lo, np.append(lo[1:], len(key))).astype(np.float64)
             total += y.T @ y
         i, j = np.divmod(np.arange(total.size), total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], ["i", "j", "v"])
@@ -467,8 +503,9 @@ def search(hits: DataFrame, sent, space, kind: str, item_kind: str, item_type, s
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = sent.value
         spans, weights, qs, own = space.value
-        size, need_of, mine = 2 * it.block, np.array([len(t) for t in it.terms]), np.zeros(len(it.vocabulary), bool)
-        for batch, row, _, at, term, starts, ends in _batches(parts):
+        size, need_of = 2 * it.block, np.array([len(t) for t in it.terms])
+        holds, there, mine = np.zeros(0, np.int64), *np.zeros((2, len(it.vocabulary)), bool)
+        for batch, row, _, at, term, starts, ends in _batches(parts, it.number):
             ids, texts, found = batch.column(0), batch.column(2), []
             doc, a, z = windows(starts, ends, size, it.block)
             at_l, term_l = at[spans[term]], term[spans[term]]
@@ -487,10 +524,12 @@ def search(hits: DataFrame, sent, space, kind: str, item_kind: str, item_type, s
                 d, k = pair >> 32, pair & 0xFFFFFFFF
                 x0, x1 = bounds[:, d]
                 if of != d:
-                    of, held, text = d, it.held(_distinct(term[x0:x1])), texts[row + d].as_py()
+                    there[holds] = False
+                    of, holds, text = d, term[x0:x1], texts[row + d].as_py()
+                    there[holds] = True
                 need, n = share * need_of[k], int(need_of[k])
                 least = need if text is None else doubtful * n
-                if held[k] < least:
+                if np.count_nonzero(there[it.terms[k]]) < least:  # no common subsequence is longer
                     continue
                 mine[it.has(k)] = True
                 inside = mine[term[x0:x1]]
@@ -525,7 +564,7 @@ def search(hits: DataFrame, sent, space, kind: str, item_kind: str, item_type, s
 
     schema = f"d {kind}, k {item_kind}, share double"
     got = hits.where("what = 'hits'").select("d", "what", "text", "at", "term").mapInArrow(run, schema)
-    return got.unionByName(hits.where("what = 'tiny'").select("d", "term").mapInArrow(tiny, schema)) if sent.value.tiny else got
+    return got.unionByName(hits.where("what = 'tiny'").select("d", "number").mapInArrow(tiny, schema)) if sent.value.tiny else got
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -554,8 +593,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         sent = spark.sparkContext.broadcast(index)
         hits = stored(item_hits(docs, id_col, text_col, sent, doubtful), scratch(spark, "hits"), block=16 << 20)
         count = np.zeros(len(index.vocabulary), np.int64)
-        for r in hits.where("what = 'count'").select(F.explode(F.arrays_zip("term", "at")).alias("x")).groupBy("x.term").agg(F.sum("x.at").alias("n")).collect():
-            count[r["term"]] = r["n"]
+        for r in hits.where("what = 'count'").select(F.explode(F.arrays_zip("number", "times")).alias("x")).groupBy("x.number").agg(F.sum("x.times").alias("n")).collect():
+            count[r["number"]] = r["n"]
         spans, long = index.choose(count, part), hits.where("what = 'hits'")
         df, g, n = sketch(long, sent, spans, rank + oversampling)
         idf, vectors, _ = decompose(long, sent, spans, df, g, n, rank)
